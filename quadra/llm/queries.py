@@ -6,20 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadra.llm import simhash, substring_dedup
-from quadra.runtime import table
+from quadra.llm import packing, simhash, substring_dedup, token_orc
+from quadra.runtime import scratch_path, table
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary file, at the same place on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
+
+
+def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "token-orc")
+    token_orc.write(table(spark, sf_dir, "documents"), tokenizer_path(), out, end=2)
+    return token_orc.digest(spark, out)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"), size=20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_token_orc": op7_token_orc,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
