@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadra.llm import packing, simhash, substring_dedup, token_orc
+from quadra.llm import packing, pii, simhash, substring_dedup, token_orc, toxicity
 from quadra.runtime import scratch_path, table
 
 
@@ -21,6 +21,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
 
@@ -31,14 +35,21 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digest(spark, out)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(docs, toxicity.fit(docs, toxicity.learning(table(spark, sf_dir, "labels"))))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"), size=20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_token_orc": op7_token_orc,
+    "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
