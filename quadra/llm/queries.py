@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadra.llm import packing, pii, simhash, substring_dedup, token_orc, toxicity
+from quadra.llm import embedding_dedup, packing, pii, pitman_yor, simhash, substring_dedup, token_orc, toxicity
 from quadra.runtime import scratch_path, table
 
 
@@ -29,12 +29,20 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
 
 
+def op6_pitman_yor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "token-orc")
     token_orc.write(table(spark, sf_dir, "documents"), tokenizer_path(), out, end=2)
     return token_orc.digest(spark, out)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(docs, toxicity.fit(docs, toxicity.learning(table(spark, sf_dir, "labels"))))
@@ -48,12 +56,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_pitman_yor_score": op6_pitman_yor_score,
     "op7_token_orc": op7_token_orc,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON v.vec_id = least.a LEFT JOIN n ON v.vec_id = n.a
+""",
     "op10_substring_dedup": r"""
 WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 windows AS (
