@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadra.llm import embedding_dedup, packing, pii, pitman_yor, simhash, substring_dedup, token_orc, toxicity
+from quadra.llm import embedding_dedup, hamming_search, packing, pii, pitman_yor, simhash, substring_dedup, token_orc, toxicity
 from quadra.runtime import scratch_path, table
 
 
@@ -29,6 +29,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
 
 
+def op5_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every row whose vec_id is divisible by 50, among all rows."""
+    codes = hamming_search.codes(table(spark, sf_dir, "embeddings"))
+    return hamming_search.top_k(codes, codes.where("id % 50 = 0"), k=10)
+
+
 def op6_pitman_yor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.digest(table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_hamming_top_k": op5_hamming_top_k,
     "op6_pitman_yor_score": op6_pitman_yor_score,
     "op7_token_orc": op7_token_orc,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
@@ -64,6 +71,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_hamming_top_k": r"""
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x, 0) > 0) AS bits FROM embeddings WHERE len(embedding) > 0),
+pairs AS (
+  SELECT q.vec_id, r.vec_id AS neighbor_id,
+         CAST(list_sum(list_transform(range(1, 65), lambda i: CAST(coalesce(q.bits[i], false) <> coalesce(r.bits[i], false) AS INT))) AS BIGINT) AS distance
+  FROM c q JOIN c r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0)
+SELECT vec_id, rank, neighbor_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM pairs) WHERE rank <= 10
+""",
     "op8_embedding_near_dedup": r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -2,7 +2,7 @@
 
 Method. Each document is cut into non-overlapping reference blocks of `size // 2` words; any window of `size`
 words holds a whole block. The blocks are the index; every rolling window of a block's length probes it. Hits
-are extended to the `size`-word windows around them, which are compared by a 128-bit hash; runs of equal
+are extended to the `size`-word windows around them, which are compared by two hashes (over 80 bits and the bucket); runs of equal
 windows are the maximal exact repeats. Of equal windows the first (smallest doc_id, then smallest start) stays;
 the words of all others are removed.
 
@@ -31,8 +31,12 @@ from quadra.llm import packed
 from quadra.llm.text import U, Words, slices
 
 #: Probes or windows that a map task gathers before it sends them on.
-CHUNK = 2_000_000
-_HASH_BYTES = 5
+CHUNK = 1_000_000
+#: Bytes sent of a probe's hash, besides the bucket: equal probes are candidates only, and a bucket's share of the
+#: corpus is the same at every size, so a false candidate stays rare.
+PROBE_BYTES = 4
+#: Bytes sent of a window's two hashes, besides the bucket.
+WINDOW_BYTES = (6, 4)
 _SENT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("payload", pa.binary())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("payload", pa.binary())])
 
@@ -43,7 +47,8 @@ def _send(parts: list[tuple], buckets: int, anchors: int) -> Iterator[pa.RecordB
         return
     h, check, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((pos, doc, check, h) if not anchors else (pos, doc, h))
-    h, check, doc, pos = h[order], check[order], doc[order], pos[order]
+    h, doc, pos = h[order], doc[order], pos[order]
+    check = np.zeros(0, U) if anchors else check[order]
     new = np.empty(len(h), bool)
     new[:1] = True
     new[1:] = (h[1:] != h[:-1]) | ((check[1:] != check[:-1]) if not anchors else False)
@@ -64,18 +69,20 @@ def _send(parts: list[tuple], buckets: int, anchors: int) -> Iterator[pa.RecordB
         s = s[np.lexsort((pos[s], doc[s]))]
         buckets_out.append(int(h[0] % U(buckets)))
         settled_out.append(True)
-        payloads.append(packed.join([*packed.places(doc[s], pos[s]), packed.planes(check[s] & U(0xFFFFFFFF))]))
-    h, check, doc, pos = h[first], check[first], doc[first], pos[first]
+        payloads.append(packed.join([*packed.places(doc[s], pos[s]), *([] if anchors else [packed.planes(check[s] & U(0xFFFFFFFF), 4)])]))
+    h, doc, pos = h[first], doc[first], pos[first]
+    check = check if anchors else check[first]
     to = (h % U(buckets)).astype(np.int64)
     order = np.lexsort((pos, doc, to))
-    h, check, doc, pos, to, flag = h[order], check[order], doc[order], pos[order], to[order], flag[order]
+    h, doc, pos, to, flag = h[order], doc[order], pos[order], to[order], flag[order]
+    check = check if anchors else check[order]
     for a, b in packed.runs(to):
         columns = [*packed.places(doc[a:b], pos[a:b])]
         rest = h[a:b] // U(buckets)
         if anchors:
-            columns += [packed.planes(rest & U((1 << 8 * _HASH_BYTES) - 1), _HASH_BYTES), packed.planes(flag[a:b])]
+            columns += [packed.planes(rest & U((1 << 8 * PROBE_BYTES) - 1), PROBE_BYTES), packed.planes(flag[a:b])]
         else:
-            columns += [packed.planes(rest, 8), packed.planes(check[a:b], 8)]
+            columns += [packed.planes(x & U((1 << 8 * n) - 1), n) for x, n in zip((rest, check[a:b]), WINDOW_BYTES, strict=True)]
         buckets_out.append(int(to[a]))
         settled_out.append(False)
         payloads.append(packed.join(columns))
@@ -104,7 +111,7 @@ def _probes(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
             keep = words.counts[row] >= size
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             h, row, start = h[keep], row[keep], start[keep]
-            yield h, h, ids[row], start
+            yield h, h[:0], ids[row], start
 
     yield from _chunked(pieces(), buckets, size // 2)
 
@@ -119,7 +126,7 @@ def _match(key, table: pa.Table, anchors: int) -> pa.Table:
         if settled:
             out_doc.append(doc)
             out_pos.append(pos)
-            out_check.append(packed.unplanes(parts[3]))
+            out_check.append(np.zeros(len(doc), U) if anchors else packed.unplanes(parts[3]))
             continue
         docs.append(doc)
         poss.append(pos)
@@ -160,10 +167,10 @@ def _match(key, table: pa.Table, anchors: int) -> pa.Table:
 
 
 def _exchange(rows: DataFrame, anchors: int) -> DataFrame:
-    """(doc_id, payloads): what the buckets found for each document."""
+    """(doc_id, __payloads): what the buckets found for each document."""
     match = partial(_match, anchors=anchors)
     found = rows.groupBy("bucket").applyInArrow(lambda key, table: match(key, table), "doc_id long, payload binary")
-    return found.groupBy("doc_id").agg(F.collect_list("payload").alias("payloads"))
+    return found.groupBy("doc_id").agg(F.collect_list("payload").alias("__payloads"))
 
 
 def _positions(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
@@ -177,25 +184,23 @@ def _positions(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
 
 
 def _extend(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The `size`-word windows that hold a hit."""
+    """The `size`-word windows that may repeat, given the hits."""
     block = size // 2
 
     def pieces():
         for batch in slices(batches):
             words = Words(batch.column("text"))
             counts, begins = words.counts, words.rows[:-1]
-            mark = np.zeros(len(words) + 1, np.int64)
-            for r, payloads in enumerate(batch.column("payloads").to_pylist()):
+            hit = np.zeros(len(words) + size, bool)
+            for r, payloads in enumerate(batch.column("__payloads").to_pylist()):
                 pos, _ = _positions(payloads)
-                pos = pos[pos <= counts[r] - block]  # rows of other text may share the doc_id
-                low, high = np.maximum(pos - (size - block), 0), np.minimum(pos, counts[r] - size) + 1
-                ok = low < high
-                np.add.at(mark, begins[r] + low[ok], 1)
-                np.add.at(mark, begins[r] + high[ok], -1)
-            wanted = np.cumsum(mark)[:-1] > 0
+                hit[begins[r] + pos[pos <= counts[r] - block]] = True  # rows of other text may share the doc_id
             h, row, start = words.windows(size, 0)
-            check, _, _ = words.windows(size, 1)
-            keep = wanted[begins[row] + start]
+            # a repeated window's own reference blocks are hits, all of them
+            own = -start % block
+            at = begins[row] + start + own
+            keep = hit[at] & (hit[at + block] | (own + 2 * block > size))
+            check = words.windows(size, 1)[0]
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             yield h[keep], check[keep], ids[row[keep]], start[keep]
 
@@ -224,30 +229,28 @@ def removed_words(words: Words, payloads: list, size: int) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, size: int = 20) -> DataFrame:
-    """The rows of docs (doc_id and text among the columns) with `payloads`: packed starts of windows that repeat an earlier one.
+    """The rows of docs (doc_id and text among the columns) with `__payloads`: packed starts of windows that repeat an earlier one.
 
-    `payloads` is null where nothing repeats; rewrite() and digest() read it.
+    `__payloads` is null where nothing repeats; rewrite() and digest() read it.
     """
     spark = docs.sparkSession
     runtime.ship(spark)
     n = runtime.shuffle_partitions(spark)
     buckets = 2 * n
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    usable = plain.where("doc_id is not null and text is not null")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    named = docs.where("doc_id is not null")
     sent = "bucket int, settled boolean, payload binary"
-    hits = _exchange(usable.mapInArrow(partial(_probes, size=size, buckets=buckets), sent), size // 2)
-    moved = plain.repartition(n, "doc_id")
+    hits = _exchange(named.select("doc_id", "text").mapInArrow(partial(_probes, size=size, buckets=buckets), sent), size // 2)
+    moved = named.repartition(n, "doc_id")  # both joins read this one exchange: the same columns and filters on either side
     windows = moved.join(hits.hint("shuffle_hash"), "doc_id").mapInArrow(partial(_extend, size=size, buckets=buckets), sent)
-    found = _exchange(windows, 0)
-    if docs.columns == ["doc_id", "text"]:
-        return moved.join(found.hint("shuffle_hash"), "doc_id", "left")
-    return docs.join(found.hint("shuffle_hash"), "doc_id", "left")
+    joined = moved.join(_exchange(windows, 0).hint("shuffle_hash"), "doc_id", "left")
+    return joined.unionByName(docs.where("doc_id is null").withColumn("__payloads", F.lit(None).cast("array<binary>")))
 
 
 def _digest(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         words = Words(batch.column("text"))
-        payloads = batch.column("payloads").to_pylist()
+        payloads = batch.column("__payloads").to_pylist()
         gone = removed_words(words, payloads, size)
         sums = np.concatenate([[0], np.cumsum(gone)])
         removed = sums[words.rows[1:]] - sums[words.rows[:-1]]
@@ -271,18 +274,18 @@ def digest(docs: DataFrame, size: int = 20) -> DataFrame:
 def _rewrite(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         words = Words(batch.column("text"))
-        gone = removed_words(words, batch.column("payloads").to_pylist(), size)
+        gone = removed_words(words, batch.column("__payloads").to_pylist(), size)
         texts = batch.column("text").to_pylist()
         sums = np.concatenate([[0], np.cumsum(gone)])
         for r in np.flatnonzero(sums[words.rows[1:]] > sums[words.rows[:-1]]).tolist():
             texts[r] = kept_text(words, r, gone).decode("utf-8", "replace")
         columns = [pa.array(texts, f.type) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)]
-        yield pa.record_batch(columns, schema=batch.schema).drop_columns(["payloads"])
+        yield pa.record_batch(columns, schema=batch.schema).drop_columns(["__payloads"])
 
 
 def rewrite(docs: DataFrame, size: int = 20) -> DataFrame:
     """docs with the repeated words taken out of `text`: a changed text is its kept words joined by one space."""
     found = repeats(docs, size)
-    return found.mapInArrow(partial(_rewrite, size=size), found.drop("payloads").schema).select(*docs.columns)
+    return found.mapInArrow(partial(_rewrite, size=size), found.drop("__payloads").schema).select(*docs.columns)
 
 
