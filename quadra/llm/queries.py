@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadra.llm import embedding_dedup, hamming_search, packing, pii, pitman_yor, simhash, substring_dedup, token_orc, toxicity
+from quadra.llm import embedding_dedup, hamming_search, packing, pii, pitman_yor, sentencepiece_codec, simhash, substring_dedup, token_orc, toxicity
 from quadra.runtime import scratch_path, table
 
 
@@ -29,6 +29,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest codes of every row whose vec_id is divisible by 50, among all rows."""
     codes = hamming_search.codes(table(spark, sf_dir, "embeddings"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_hamming_top_k": op5_hamming_top_k,
     "op6_pitman_yor_score": op6_pitman_yor_score,
     "op7_token_orc": op7_token_orc,
