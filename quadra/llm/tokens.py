@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -70,22 +71,24 @@ class Encoder:
             and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in spec["added_tokens"])
         )
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.chars = self.tokenizer.model, _byte_chars()
         self.cache = _Cache(self._word)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if not _PLAIN.fullmatch(text):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        ids: list[int] = []
-        for piece in _PIECES.findall(text):
-            if not piece.isascii():
-                piece = "".join([self.chars[b] for b in piece.encode()])
-            ids += [t.id for t in self.model.tokenize(piece)]
-        return self._pack(ids)
+        pieces = _PIECES.findall(text)
+        if len(pieces) > 1:  # a piece by itself is a word too, and is met far more often than this one
+            known = self.cache
+            return b"".join([known[p.encode()] for p in pieces])
+        if not text.isascii():
+            text = "".join([self.chars[b] for b in word])
+        return self._pack([t.id for t in self.model.tokenize(text)])
 
     def encode(self, text: bytes) -> np.ndarray:
         """Ids of one text, without special tokens added."""
