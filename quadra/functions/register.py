@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import SparkSession
 
-from quadra.functions.native import ensure
+from quadra.functions.native import NATIVE, ensure
 
 _R = "6378137.0D"
 _X = f"({_R} * radians(lon))"
@@ -59,8 +59,6 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
         "ST_RTOY": (f"r INT, cell DOUBLE, {_D}", "DOUBLE", "r * cell + dist"),
         "QR_FROMXY": ("x DOUBLE, y DOUBLE, cell DOUBLE", "BIGINT", _key("x", "y")),
         "QR_FROMGEOM": ("geom BINARY, cell DOUBLE", "BIGINT", _key("quadra_extent(geom).xmin", "quadra_extent(geom).ymin")),
-        "QR_LIST": (f"{g}, cell DOUBLE, {_D}", "ARRAY<BIGINT>", "quadra_qr_list(geom, cell, dist)"),
-        "QR_ENVP": (f"{g}, cell DOUBLE, {_D}", f"ARRAY<{_ENV}>", "quadra_qr_envp(geom, cell, dist)"),
         "QR_COUNT": (f"{g}, cell DOUBLE, {_D}", "INT", "quadra_qr_count(geom, cell, dist)"),
         "QR_ASGEOM": (f"qr BIGINT, cell DOUBLE, {_D}", "BINARY", f"quadra_rect({_Q} * cell - dist, {_ROW} * cell - dist, ({_Q} + 1) * cell + dist, ({_ROW} + 1) * cell + dist)"),
         "QR_CONTAINSGEOM": (f"qr BIGINT, cell DOUBLE, {g}", "BOOLEAN", f"({_key('quadra_extent(geom).xmin', 'quadra_extent(geom).ymin')}) = qr AND ({_key('quadra_extent(geom).xmax', 'quadra_extent(geom).ymax')}) = qr"),
@@ -94,29 +92,39 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
         "ST_REPAIR": (f"{g}, {_W}", "BINARY", "quadra_fix(geom, wkid)"),
         "ST_EXTERIORRING": (g, "BINARY", "quadra_exterior_ring(geom)"),
         "ST_TRANSLATE": (f"{g}, dx DOUBLE, dy DOUBLE", "BINARY", "quadra_translate(geom, dx, dy)"),
-        "ST_DUMP": (g, "ARRAY<BINARY>", "quadra_dump(geom)"),
         "ST_UNIONCOL": (f"coll ARRAY<BINARY>, {_W}", "BINARY", "quadra_union_col(coll, wkid)"),
         "CLIP_LINE": ("line ARRAY<DOUBLE>, cell DOUBLE", "ARRAY<STRUCT<q: INT, r: INT, l: DOUBLE>>", "quadra_clip_line(line, cell, 0.0D)"),
-        "CLIP_LINE_DIST": (f"line ARRAY<DOUBLE>, cell DOUBLE, {_D}", "ARRAY<STRUCT<q: INT, r: INT, l: DOUBLE>>", "quadra_clip_line(line, cell, dist)"),
     }
     for name in ("INTERSECTS", "CONTAINS", "WITHIN", "TOUCHES", "OVERLAPS", "DISJOINT", "CROSSES", "EQUALS"):
         out[f"ST_{name}"] = (f"{pair}, {_W}", "BOOLEAN", f"quadra_{name.lower()}(lhs, rhs, wkid)")
-    for name in ("QR_CLIP", "QR_GEOM"):
-        out[name] = (f"{g}, cell DOUBLE, {_D}, {_W}", "ARRAY<STRUCT<qr: BIGINT, geom: BINARY>>", "quadra_qr_geom(geom, cell, dist, wkid)")
-    for name in ("QR_ENVPGROM", "QR_ENVPGEOM"):
-        out[name] = (f"{g}, cell DOUBLE, {_D}, {_W}", "ARRAY<STRUCT<qr: BIGINT, xmin: DOUBLE, ymin: DOUBLE, xmax: DOUBLE, ymax: DOUBLE, geom: BINARY>>", "quadra_qr_envp_geom(geom, cell, dist, wkid)")
     for kind in ("multipoint", "polyline", "polygon"):
         for layout in "2MZ":
             out[f"GDB_{kind.upper()}{layout}"] = (f"shape {_SHAPE}", "BINARY", f"quadra_gdb_{kind}(shape, '{layout}')")
     return out
 
 
+#: Functions that return arrays are registered as they are, since SQL functions cannot stand inside explode().
+DIRECT = {
+    "QR_LIST": "quadra_qr_list",
+    "QR_ENVP": "quadra_qr_envp",
+    "QR_CLIP": "quadra_qr_geom",
+    "QR_GEOM": "quadra_qr_geom",
+    "QR_ENVPGROM": "quadra_qr_envp_geom",
+    "QR_ENVPGEOM": "quadra_qr_envp_geom",
+    "ST_DUMP": "quadra_dump",
+    "CLIP_LINE_DIST": "quadra_clip_line",
+    "GDB_POINT": "quadra_gdb_point",
+}
+
+
 def st_register_functions(spark: SparkSession | None = None) -> list[str]:
-    """Register every SQL name with a session; returns the names. GDB_POINT takes a struct of any layout and is registered as it is."""
+    """Register every SQL name with a session; returns the names."""
     spark = spark or SparkSession.getActiveSession()
     ensure(spark)
-    spark.udf.registerJavaFunction("GDB_POINT", "quadra.Functions$GdbPoint", "binary")
-    names = ["GDB_POINT"]
+    for name, of in DIRECT.items():
+        java, result = NATIVE[of]
+        spark.udf.registerJavaFunction(name, f"quadra.Functions${java}", result)
+    names = list(DIRECT)
     for name, (parameters, result, body) in _definitions().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
         names.append(name)

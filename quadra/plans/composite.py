@@ -255,11 +255,11 @@ def _q2(spark, sf_dir):
     return _points(spark, sf_dir).where(S.st_intersects("geom", one.scalar())).agg(F.count("*").alias("n"))
 
 
-@_register("q3_months_near_box", "SELECT date_trunc('month', ts) AS month, count(*) AS n, round(avg(price), 4) AS avg_price FROM geo_points p, (SELECT -30e0 AS xmin, -20e0 AS ymin, 40e0 AS xmax, 25e0 AS ymax) b WHERE " + _GAP + " <= 2.5e0 GROUP BY 1")
+@_register("q3_months_near_box", "SELECT date_trunc('month', ts) AS month, count(*) AS n, round(avg(price), 7) AS avg_price FROM geo_points p, (SELECT -30e0 AS xmin, -20e0 AS ymin, 40e0 AS xmax, 25e0 AS ymax) b WHERE " + _GAP + " <= 2.5e0 GROUP BY 1")
 def _q3(spark, sf_dir):
     box = S.st_fromtext(F.lit("POLYGON ((-30 -20, -30 25, 40 25, 40 -20, -30 -20))"))
     near = _points(spark, sf_dir).where(S.st_dwithin("geom", box, 2.5))
-    return near.groupBy(F.date_trunc("month", "ts").alias("month")).agg(F.count("*").alias("n"), _r(F.avg("price"), 4).alias("avg_price"))
+    return near.groupBy(F.date_trunc("month", "ts").alias("month")).agg(F.count("*").alias("n"), _r(F.avg("price"), 7).alias("avg_price"))
 
 
 @_register("q4_top_orders_by_box", f"SELECT b.id, b.name, count(*) AS n FROM (SELECT * FROM geo_points ORDER BY price DESC, id LIMIT 1000) p JOIN geo_boxes b ON {_IN} GROUP BY b.id, b.name")
@@ -278,13 +278,13 @@ def _q5(spark, sf_dir):
     return hulls.select("custkey", "year", "n", _r(e["xmax"] - e["xmin"]).alias("width"))
 
 
-@_register("q6_points_by_box_in_area", f"SELECT b.id, b.name, count(*) AS n, round(avg(p.price), 4) AS avg_price FROM geo_points p JOIN geo_boxes b ON {_IN} WHERE b.xmin <= 60 AND b.xmax >= -60 AND b.ymin <= 40 AND b.ymax >= -40 GROUP BY b.id, b.name")
+@_register("q6_points_by_box_in_area", f"SELECT b.id, b.name, count(*) AS n, round(avg(p.price), 7) AS avg_price FROM geo_points p JOIN geo_boxes b ON {_IN} WHERE b.xmin <= 60 AND b.xmax >= -60 AND b.ymin <= 40 AND b.ymax >= -40 GROUP BY b.id, b.name")
 def _q6(spark, sf_dir):
     area = S.st_fromtext(F.lit("POLYGON ((-60 -40, -60 40, 60 40, 60 -40, -60 -40))"))
     cells = _boxes(spark, sf_dir).where(S.st_intersects("geom", area)).select(F.col("id").alias("bid"), "name", F.col("geom").alias("bgeom"), S.qr_list_explode("geom", CELL).alias("cell"))
     rows = _points(spark, sf_dir).withColumn("qr", S.qr_fromxy("x", "y", CELL))
     pairs = rows.join(cells, (F.col("qr") == F.col("cell")) & S.st_within("geom", "bgeom"))
-    return pairs.groupBy(F.col("bid").alias("id"), "name").agg(F.count("*").alias("n"), _r(F.avg("price"), 4).alias("avg_price"))
+    return pairs.groupBy(F.col("bid").alias("id"), "name").agg(F.count("*").alias("n"), _r(F.avg("price"), 7).alias("avg_price"))
 
 
 _LEN = "sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))"
@@ -341,20 +341,21 @@ def _q11(spark, sf_dir):
     return each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
 
-@_register("q12_nearest_sites", f"SELECT id, round(avg(distance), 5) AS avg_distance FROM ({_KNN}) AS r WHERE k <= 5 GROUP BY id ORDER BY avg_distance DESC, id LIMIT 100")
+@_register("q12_nearest_sites", f"SELECT id, round(avg(distance), 7) AS avg_distance FROM ({_KNN}) AS r WHERE k <= 5 GROUP BY id ORDER BY avg_distance DESC, id LIMIT 100")
 def _q12(spark, sf_dir):
     sites = view(spark, sf_dir, "geo_sites").withColumn("sgeom", S.st_point("sx", "sy")).select("sid", "sgeom")
     near = knn_join(_points(spark, sf_dir).select("id", "geom"), sites, 5, "geom", "sgeom")
-    return near.groupBy("id").agg(_r(F.avg(_r(F.col("distance"))), 5).alias("avg_distance")).orderBy(F.col("avg_distance").desc(), "id").limit(100)
+    return near.groupBy("id").agg(_r(F.avg(_r(F.col("distance"))), 7).alias("avg_distance")).orderBy(F.col("avg_distance").desc(), "id").limit(100)
 
 
 # --- relational operators the engine takes from Spark -------------------------------------------------------------------
 
 
-@_register("cube_by_cell", "SELECT CAST(floor(x / 60e0) AS BIGINT) AS q, CAST(floor(y / 60e0) AS BIGINT) AS r, count(*) AS n FROM geo_points GROUP BY CUBE (1, 2)")
+@_register("cube_by_cell", "SELECT coalesce(q, -99) AS q, coalesce(r, -99) AS r, n FROM (SELECT q, r, count(*) AS n FROM (SELECT CAST(floor(x / 60e0) AS BIGINT) AS q, CAST(floor(y / 60e0) AS BIGINT) AS r FROM geo_points) AS c GROUP BY CUBE (q, r)) AS t")
 def _cube(spark, sf_dir):
     rows = view(spark, sf_dir, "geo_points").select(F.floor(F.col("x") / 60.0).alias("q"), F.floor(F.col("y") / 60.0).alias("r"))
-    return rows.cube("q", "r").agg(F.count("*").alias("n"))
+    whole = lambda c: F.coalesce(c, F.lit(-99).cast("long")).alias(c)
+    return rows.cube("q", "r").agg(F.count("*").alias("n")).select(whole("q"), whole("r"), "n")
 
 
 @_register("top_per_cell", "SELECT q, r, id FROM (SELECT CAST(floor(x / 30e0) AS BIGINT) AS q, CAST(floor(y / 30e0) AS BIGINT) AS r, id, row_number() OVER (PARTITION BY floor(x / 30e0), floor(y / 30e0) ORDER BY price DESC, id) AS k FROM geo_points) AS t WHERE k <= 3")
@@ -371,7 +372,7 @@ def _sql(spark, sf_dir):
 
     st_register_functions(spark)
     text = """
-WITH b AS (SELECT id, g, explode(QR_LIST(g, 5)) AS cell FROM (SELECT id, ST_RECT(xmin, ymin, xmax, ymax) AS g FROM {boxes})),
+WITH b AS (SELECT id, g, explode(QR_LIST(g, 5, 0.0)) AS cell FROM (SELECT id, ST_RECT(xmin, ymin, xmax, ymax) AS g FROM {boxes})),
 p AS (SELECT ST_POINT(x, y) AS g, QR_FROMXY(x, y, 5) AS cell FROM {points})
 SELECT b.id, count(*) AS n FROM p JOIN b ON p.cell = b.cell AND ST_WITHIN(p.g, b.g) GROUP BY b.id HAVING count(*) > 5"""
     return spark.sql(text, boxes=view(spark, sf_dir, "geo_boxes"), points=view(spark, sf_dir, "geo_points"))
@@ -388,8 +389,8 @@ def _stream(spark, sf_dir):
 
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    points = stream.select("ts", F.expr(_EVENT_X).alias("x"), F.expr(_EVENT_Y).alias("y"))
-    return run_to_end(cell_counts(points, 60.0, "1 hour", "1 day"), "complete").select(F.col("window.start").alias("start"), "qr", "n")
+    points = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.expr(_EVENT_X).alias("x"), F.expr(_EVENT_Y).alias("y"))
+    return run_to_end(cell_counts(points, 60.0, "1 hour", "1 day"), "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "qr", "n")
 
 
 @_register("streaming_box_join", f"SELECT b.id, count(*) AS n FROM (SELECT {_EVENT_X} AS x, {_EVENT_Y} AS y FROM events) p JOIN geo_boxes b ON {_IN} GROUP BY b.id")
