@@ -6,9 +6,10 @@ are extended to the `size`-word windows around them, which are compared by two h
 windows are the maximal exact repeats. Of equal windows the first (smallest doc_id, then smallest start) stays;
 the words of all others are removed.
 
-Execution. Probes travel as packed rows, one for each (map chunk, hash bucket): about seven bytes a word. A
+Execution. Probes travel as packed rows, one for each (map chunk, hash bucket): about six bytes a word. A
 chunk sends one entry for each distinct hash, so that a passage in a third of all documents adds at most one
-entry a chunk to its bucket. Text moves once, by doc_id, and both joins use that exchange.
+entry a chunk to its bucket. Answers come back packed for each bucket of documents. Text moves once, by a hash of doc_id;
+both times that answers meet their documents use that exchange.
 
 Defined cases: a null text has no words; rows that repeat doc_id and text are the same document (no copy of one
 another, all rows returned); rows that share a doc_id with other text count as equally early; a row with null
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quadra import runtime
 from quadra.llm import packed
-from quadra.llm.text import U, Words, slices
+from quadra.llm.text import U, Words, bucket_of, slices
 
 #: Probes or windows that a map task gathers before it sends them on.
 CHUNK = 1_000_000
@@ -38,7 +39,7 @@ PROBE_BYTES = 4
 #: Bytes sent of a window's two hashes, besides the bucket.
 WINDOW_BYTES = (6, 4)
 _SENT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("payload", pa.binary())])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("payload", pa.binary())])
+_FOUND = pa.schema([("__group", pa.int32()), ("payload", pa.binary())])
 
 
 def _send(parts: list[tuple], buckets: int, anchors: int) -> Iterator[pa.RecordBatch]:
@@ -116,8 +117,8 @@ def _probes(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
     yield from _chunked(pieces(), buckets, size // 2)
 
 
-def _match(key, table: pa.Table, anchors: int) -> pa.Table:
-    """One bucket: hits among probes (anchors), or the windows that are not the first of their kind."""
+def _match(key, table: pa.Table, anchors: int, groups: int) -> pa.Table:
+    """One bucket: hits among probes (anchors), or the windows that are not the first of their kind; a row for each group of documents."""
     docs, poss, hs, checks, flags = [], [], [], [], []
     out_doc, out_pos, out_check = [], [], []
     for settled, payload in zip(table.column("settled").to_pylist(), table.column("payload").to_pylist(), strict=True):
@@ -157,43 +158,49 @@ def _match(key, table: pa.Table, anchors: int) -> pa.Table:
     if not out_doc:
         return _FOUND.empty_table()
     doc, pos, check = np.concatenate(out_doc), np.concatenate(out_pos), np.concatenate(out_check)
-    order = np.lexsort((pos, doc))
-    doc, pos, check = doc[order], pos[order], check[order]
-    payloads = [
-        packed.join([packed.planes(np.diff(pos[a:b], prepend=np.int64(0)))] + ([] if anchors else [packed.planes(check[a:b], 4)]))
-        for a, b in packed.runs(doc)
-    ]
-    return pa.table([pa.array(doc[packed.groups(doc)], pa.int64()), pa.array(payloads, pa.binary())], schema=_FOUND)
+    to = bucket_of(doc, groups)
+    order = np.lexsort((pos, doc, to))
+    doc, pos, check, to = doc[order], pos[order], check[order], to[order]
+    rows = [(int(to[a]), packed.join([*packed.places(doc[a:b], pos[a:b]), *([] if anchors else [packed.planes(check[a:b], 4)])])) for a, b in packed.runs(to)]
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_FOUND)
 
 
-def _exchange(rows: DataFrame, anchors: int) -> DataFrame:
-    """(doc_id, __payloads): what the buckets found for each document."""
-    match = partial(_match, anchors=anchors)
-    found = rows.groupBy("bucket").applyInArrow(lambda key, table: match(key, table), "doc_id long, payload binary")
-    return found.groupBy("doc_id").agg(F.collect_list("payload").alias("__payloads"))
+class Answers:
+    """What the buckets found for a group of documents."""
 
+    def __init__(self, found: pa.Table):
+        parts = [packed.split(p) for p in found.column("payload").to_pylist()]
+        places = [packed.unplaces(p[:3]) for p in parts]
+        doc = np.concatenate([x[0] for x in places]) if places else np.empty(0, np.int64)
+        pos = np.concatenate([x[1] for x in places]) if places else np.empty(0, np.int64)
+        check = np.concatenate([packed.unplanes(p[3]) for p in parts]) if parts and len(parts[0]) > 3 else np.zeros(len(doc), U)
+        order = np.lexsort((pos, doc))
+        self.doc, self.pos, self.check = doc[order], pos[order], check[order]
+
+    def of(self, ids: pa.Array) -> list[tuple[int, int]]:
+        """Each row's range of answers; none for null ids."""
+        wanted = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        low, high = np.searchsorted(self.doc, wanted, "left"), np.searchsorted(self.doc, wanted, "right")
+        high = np.where(ids.is_null().to_numpy(zero_copy_only=False), low, high)
+        return list(zip(low.tolist(), high.tolist(), strict=True))
 
-def _positions(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
-    pos, check = [], []
-    for payload in payloads or ():
-        parts = packed.split(payload)
-        pos.append(np.cumsum(packed.unplanes(parts[0]).astype(np.int64)))
-        if len(parts) > 1:
-            check.append(packed.unplanes(parts[1]))
-    return np.concatenate(pos) if pos else np.empty(0, np.int64), np.concatenate(check) if check else None
 
+def _grouped(docs: pa.Table) -> Iterator[pa.RecordBatch]:
+    return slices(iter(docs.combine_chunks().to_batches()))
 
-def _extend(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The `size`-word windows that may repeat, given the hits."""
-    block = size // 2
+
+def _extend(key, docs: pa.Table, found: pa.Table, size: int, buckets: int) -> pa.Table:
+    """The `size`-word windows of a group of documents that may repeat, given the hits."""
+    block, answers = size // 2, Answers(found)
 
     def pieces():
-        for batch in slices(batches):
+        for batch in _grouped(docs) if len(answers.doc) else ():
+            mine = answers.of(batch.column("doc_id"))
             words = Words(batch.column("text"))
             counts, begins = words.counts, words.rows[:-1]
             hit = np.zeros(len(words) + size, bool)
-            for r, payloads in enumerate(batch.column("__payloads").to_pylist()):
-                pos, _ = _positions(payloads)
+            for r, (a, b) in enumerate(mine):
+                pos = answers.pos[a:b]
                 hit[begins[r] + pos[pos <= counts[r] - block]] = True  # rows of other text may share the doc_id
             h, row, start = words.windows(size, 0)
             # a repeated window's own reference blocks are hits, all of them
@@ -201,21 +208,21 @@ def _extend(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
             at = begins[row] + start + own
             keep = hit[at] & (hit[at + block] | (own + 2 * block > size))
             check = words.windows(size, 1)[0]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             yield h[keep], check[keep], ids[row[keep]], start[keep]
 
-    yield from _chunked(pieces(), buckets, 0)
+    return pa.Table.from_batches(list(_chunked(pieces(), buckets, 0)), schema=_SENT)
 
 
-def removed_words(words: Words, payloads: list, size: int) -> np.ndarray:
-    """For each word of a batch whether it is removed."""
+def removed_words(words: Words, answers: Answers, mine: list[tuple[int, int]], size: int) -> np.ndarray:
+    """For each word of a batch whether it is removed; mine: each row's range of answers."""
     counts, begins = words.counts, words.rows[:-1]
     mark = np.zeros(len(words) + 1, np.int64)
     check = None
-    for r, own in enumerate(payloads):
-        if not own:
+    for r, (a, b) in enumerate(mine):
+        if a == b:
             continue
-        pos, want = _positions(own)
+        pos, want = answers.pos[a:b], answers.check[a:b]
         if check is None:
             h, row, start = words.windows(size, 1)
             check = np.zeros(len(words) + 1, np.uint64)
@@ -228,34 +235,42 @@ def removed_words(words: Words, payloads: list, size: int) -> np.ndarray:
     return np.cumsum(mark)[:-1] > 0
 
 
-def repeats(docs: DataFrame, size: int = 20) -> DataFrame:
-    """The rows of docs (doc_id and text among the columns) with `__payloads`: packed starts of windows that repeat an earlier one.
-
-    `__payloads` is null where nothing repeats; rewrite() and digest() read it.
-    """
+def _process(docs: DataFrame, size: int, finish, schema) -> DataFrame:
+    """finish(key, documents, answers) over groups of documents, with the starts of their windows that repeat an earlier one."""
     spark = docs.sparkSession
     runtime.ship(spark)
     n = runtime.shuffle_partitions(spark)
-    buckets = 2 * n
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    named = docs.where("doc_id is not null")
+    buckets, groups = 2 * n, 4 * n
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    named = docs.select("doc_id", "text").where("doc_id is not null")
     sent = "bucket int, settled boolean, payload binary"
-    hits = _exchange(named.select("doc_id", "text").mapInArrow(partial(_probes, size=size, buckets=buckets), sent), size // 2)
-    moved = named.repartition(n, "doc_id")  # both joins read this one exchange: the same columns and filters on either side
-    windows = moved.join(hits.hint("shuffle_hash"), "doc_id").mapInArrow(partial(_extend, size=size, buckets=buckets), sent)
-    joined = moved.join(_exchange(windows, 0).hint("shuffle_hash"), "doc_id", "left")
-    return joined.unionByName(docs.where("doc_id is null").withColumn("__payloads", F.lit(None).cast("array<binary>")))
+    found = "__group int, payload binary"
+    probes = named.mapInArrow(partial(_probes, size=size, buckets=buckets), sent)
+    hits = probes.groupBy("bucket").applyInArrow(_keyed(partial(_match, anchors=size // 2, groups=groups)), found)
+    group = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int")
+    moved = docs.withColumn("__group", group).repartition(n, "__group")  # both uses below read this one exchange
+    extend = partial(_extend, size=size, buckets=buckets)
+    windows = moved.groupBy("__group").cogroup(hits.groupBy("__group")).applyInArrow(lambda key, left, right: extend(key, left, right), sent)
+    later = windows.groupBy("bucket").applyInArrow(_keyed(partial(_match, anchors=0, groups=groups)), found)
+    return moved.groupBy("__group").cogroup(later.groupBy("__group")).applyInArrow(lambda key, left, right: finish(key, left, right), schema)
+
+
+def _keyed(f):
+    return lambda key, table: f(key, table)
 
 
-def _digest(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+def _digest(key, docs: pa.Table, found: pa.Table, size: int) -> pa.Table:
+    answers, out = Answers(found), []
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    for batch in _grouped(docs):
         words = Words(batch.column("text"))
-        payloads = batch.column("__payloads").to_pylist()
-        gone = removed_words(words, payloads, size)
+        gone = removed_words(words, answers, answers.of(batch.column("doc_id")), size)
         sums = np.concatenate([[0], np.cumsum(gone)])
         removed = sums[words.rows[1:]] - sums[words.rows[:-1]]
         digests = [hashlib.sha256(kept_text(words, r, gone)).hexdigest() for r in range(batch.num_rows)]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        out.append(pa.table([batch.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=names))
+    return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names=names)
 
 
 def kept_text(words: Words, r: int, gone: np.ndarray) -> bytes:
@@ -267,25 +282,25 @@ def kept_text(words: Words, r: int, gone: np.ndarray) -> bytes:
 
 def digest(docs: DataFrame, size: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs."""
-    found = repeats(docs.select("doc_id", "text"), size)
-    return found.mapInArrow(partial(_digest, size=size), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _process(docs.select("doc_id", "text"), size, partial(_digest, size=size), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+def _rewrite(key, docs: pa.Table, found: pa.Table, size: int) -> pa.Table:
+    answers, out = Answers(found), []
+    docs = docs.drop_columns(["__group"])
+    for batch in _grouped(docs):
         words = Words(batch.column("text"))
-        gone = removed_words(words, batch.column("__payloads").to_pylist(), size)
+        gone = removed_words(words, answers, answers.of(batch.column("doc_id")), size)
         texts = batch.column("text").to_pylist()
         sums = np.concatenate([[0], np.cumsum(gone)])
         for r in np.flatnonzero(sums[words.rows[1:]] > sums[words.rows[:-1]]).tolist():
             texts[r] = kept_text(words, r, gone).decode("utf-8", "replace")
         columns = [pa.array(texts, f.type) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)]
-        yield pa.record_batch(columns, schema=batch.schema).drop_columns(["__payloads"])
+        out.append(pa.Table.from_batches([pa.record_batch(columns, schema=batch.schema)]))
+    return pa.concat_tables(out) if out else docs
 
 
 def rewrite(docs: DataFrame, size: int = 20) -> DataFrame:
     """docs with the repeated words taken out of `text`: a changed text is its kept words joined by one space."""
-    found = repeats(docs, size)
-    return found.mapInArrow(partial(_rewrite, size=size), found.drop("__payloads").schema).select(*docs.columns)
-
-
+    schema = docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema
+    return _process(docs, size, partial(_rewrite, size=size), schema).select(*docs.columns)

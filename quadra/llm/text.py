@@ -124,3 +124,17 @@ def spread(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
     row = np.repeat(np.arange(len(counts)), counts)
     step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     return begins[row] + step, row, step
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U(by)) | (x >> U(64 - by))
+
+
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """pmod(xxhash64(id), buckets) of Spark SQL, for long ids."""
+    p1, p2, p3, p4, p5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = U(42 + int(p5) + 8) ^ (_turn(np.ascontiguousarray(ids, np.int64).view(U) * p2, 31) * p1)
+    h = _turn(h, 27) * p1 + p4
+    h = (h ^ (h >> U(33))) * p2
+    h = (h ^ (h >> U(29))) * p3
+    return (h ^ (h >> U(32))).view(np.int64) % buckets
