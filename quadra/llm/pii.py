@@ -172,7 +172,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Occurrences of the patterns in the bit set `wanted`."""
+    """Occurrences of the patterns in the bit set `wanted`, summed over a task's rows (in parts of a bounded number of patterns)."""
+    held = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+
+    def merged():
+        value, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return value, np.bincount(back, weights=np.concatenate([h[1] for h in held]), minlength=len(value)).astype(np.int64)
+
+    def row(value, n):
+        return pa.record_batch([pa.array(value.view(np.int64)), pa.array(n)], names=["pattern", "n"])
+
     for batch in slices(batches):
         words = Words(batch.column("text"), lower=True)
         each = words.hashes()
@@ -181,8 +190,13 @@ def _count(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa
         for h in (each, two):
             at = (h & U((1 << SET_BITS) - 1)).astype(np.int64)
             found.append(h[(wanted[at >> 6] >> (at & 63).astype(np.uint64)) & U(1) > 0])
-        value, n = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.record_batch([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["pattern", "n"])
+        held.append(np.unique(np.concatenate(found), return_counts=True))
+        if len(held) >= 32:
+            held = [merged()]
+            if len(held[0][0]) > 1_000_000:
+                yield row(*held.pop())
+                held = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+    yield row(*merged())
 
 
 def _graph(scanned: DataFrame, docs: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
