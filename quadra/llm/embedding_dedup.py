@@ -31,6 +31,8 @@ from quadra.operators.components import components
 
 LISTS = 48
 CELL = 1024
+#: Projections that may be cut, each in two.
+CUTS = 16
 _SEED = 97
 
 
@@ -70,7 +72,7 @@ def _prepare(batches, lists: int):
                 continue
             unit = v / top
             unit /= np.linalg.norm(unit)
-            out.append((vec, label, n, len(row), unit.tobytes(), (unit @ directions_cached(len(row), lists)).tolist()))
+            out.append((vec, label, n, len(row), unit.tobytes(), (unit @ directions_cached(len(row), lists)[:, :CUTS]).tolist()))
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.float64())), strict=True)], names=["rep", "label", "n", "dim", "unit", "p"])
 
@@ -112,8 +114,9 @@ def _compare(key, table: pa.Table, threshold: float, recall: float, lists: int)
     reach, needed = calibrate(dim, threshold, recall, lists)
     role = table.column("role").to_numpy()
     rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+    # a vector's projections are cheaper to make again than to send
     u = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, dim)
-    p = np.array(table.column("p").to_pylist())
+    p = u @ directions_cached(dim, lists)
     qs, ts = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
     links = dict.fromkeys(rep.tolist(), 0)
     up: dict[int, int] = {}
@@ -143,9 +146,9 @@ def _compare(key, table: pa.Table, threshold: float, recall: float, lists: int)
 
 def _cells(vectors: DataFrame, cell: int, border: float, lists: int) -> DataFrame:
     """One row for each cell that a vector is sent to, with `home`: whether it is the vector's own."""
-    sizes = vectors.groupBy("label", "dim").agg(F.count("*").alias("m"), *[F.percentile_approx(F.get("p", F.lit(j)), 0.5, 1000).alias(f"c{j}") for j in range(12)])
-    cuts = F.array(*[F.col(f"c{j}") for j in range(12)])
-    depth = F.greatest(F.lit(0), F.least(F.lit(12), F.ceil(F.log2(F.col("m") / F.lit(float(cell)))))).cast("int")
+    sizes = vectors.groupBy("label", "dim").agg(F.count("*").alias("m"), *[F.percentile_approx(F.get("p", F.lit(j)), 0.5, 1000).alias(f"c{j}") for j in range(CUTS)])
+    cuts = F.array(*[F.col(f"c{j}") for j in range(CUTS)])
+    depth = F.greatest(F.lit(0), F.least(F.lit(CUTS), F.ceil(F.log2(F.col("m") / F.lit(float(cell)))))).cast("int")
     sized = vectors.join(sizes.select("label", "dim", depth.alias("depth"), cuts.alias("cuts")), ["label", "dim"])
     near = border / F.sqrt("dim")
     first = F.array(F.struct(F.lit(0).alias("cell"), F.lit(True).alias("home")))
@@ -157,7 +160,7 @@ def _cells(vectors: DataFrame, cell: int, border: float, lists: int) -> DataFram
         return F.when(close, F.concat(F.transform(paths, go(own, True)), F.transform(paths, go(1 - own, False)))).otherwise(F.transform(paths, go(own, True)))
 
     paths = F.aggregate(F.when(F.col("depth") > 0, F.sequence(F.lit(0), F.col("depth") - 1)).otherwise(F.array().cast("array<int>")), first, branch)
-    return sized.select("label", "dim", "rep", "n", "unit", "p", F.explode(paths).alias("at")).select("label", "dim", "rep", "n", "unit", "p", "at.cell", "at.home")
+    return sized.select("label", "dim", "rep", "n", "unit", F.explode(paths).alias("at")).select("label", "dim", "rep", "n", "unit", "at.cell", "at.home")
 
 
 def linked(vectors: DataFrame, threshold: float, recall: float, lists: int, cell: int) -> DataFrame:
@@ -168,8 +171,8 @@ def linked(vectors: DataFrame, threshold: float, recall: float, lists: int, cell
     tiles = F.ceil(F.col("m") / F.lit(float(2 * cell))).cast("int")
     tiled = sent.join(counts.select(*place, tiles.alias("tiles")), place).withColumn("tile", F.pmod(F.hash("rep"), F.col("tiles")))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    asks = tiled.where("home").withColumn("other", other).select(*place, F.col("tile").alias("q"), F.col("other").alias("t"), F.lit(0).alias("role"), "home", "rep", "n", "unit", "p")
-    told = tiled.withColumn("other", other).select(*place, F.col("other").alias("q"), F.col("tile").alias("t"), F.lit(1).alias("role"), "home", "rep", "n", "unit", "p")
+    asks = tiled.where("home").withColumn("other", other).select(*place, F.col("tile").alias("q"), F.col("other").alias("t"), F.lit(0).alias("role"), "rep", "n", "unit")
+    told = tiled.withColumn("other", other).select(*place, F.col("other").alias("q"), F.col("tile").alias("t"), F.lit(1).alias("role"), "rep", "n", "unit")
     compare = partial(_compare, threshold=threshold, recall=recall, lists=lists)
     return asks.unionAll(told).groupBy(*place, "q", "t").applyInArrow(lambda key, table: compare(key, table), "src long, dst long, links long")
 
