@@ -161,7 +161,7 @@ def st_wgs84(geom="geom") -> Column:
 def _index(v: Column, cell) -> Column:
     """Cell index as an int; out of range saturates, NaN is 0."""
     q = F.floor(F.least(F.greatest(v / _d(cell), F.lit(-2147483648.0)), F.lit(2147483647.0)))
-    return F.when(F.isnan(v), F.when(v.isNotNull(), F.lit(0))).otherwise(q.cast("int"))
+    return F.when(F.isnan(v), F.lit(0)).when(v.isNotNull(), q.cast("int"))  # least and greatest pass over nulls
 
 
 def st_xtoq(x, cell) -> Column:

@@ -20,7 +20,7 @@ _SHAPE = "STRUCT<xmin: DOUBLE, ymin: DOUBLE, xmax: DOUBLE, ymax: DOUBLE, parts:
 
 
 def _index(v: str) -> str:
-    return f"CASE WHEN isnan({v}) THEN 0 ELSE CAST(floor(least(greatest({v} / cell, -2147483648.0D), 2147483647.0D)) AS INT) END"
+    return f"CASE WHEN isnan({v}) THEN 0 WHEN {v} IS NOT NULL THEN CAST(floor(least(greatest({v} / cell, -2147483648.0D), 2147483647.0D)) AS INT) END"
 
 
 def _key(x: str, y: str) -> str:
