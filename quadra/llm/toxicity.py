@@ -92,7 +92,7 @@ def _constant(share: float) -> Model:
     return Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))))
 
 
-def train(features: list[np.ndarray], groups: list[np.ndarray], toxic: np.ndarray, fairness: float = 10.0, ridge: float = 1e-3, steps: int = 400) -> Model:
+def train(features: list[np.ndarray], groups: list[np.ndarray], toxic: np.ndarray, fairness: float = 50.0, ridge: float = 1e-3, steps: int = 400) -> Model:
     """Fit the weights; features: each row's feature numbers, groups: the group terms it mentions."""
     toxic = np.asarray(toxic, float)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -153,7 +153,7 @@ def learning(labels: DataFrame) -> DataFrame:
     return labels.where("toxic is not null and doc_id is not null and crc32(cast(cast(doc_id as bigint) as string)) % 5 <> 0")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, fairness: float = 10.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, fairness: float = 50.0) -> Model:
     """Fit on at most sample[0] toxic and sample[1] other rows of docs whose doc_id is in labels (doc_id, toxic)."""
     runtime.ship(docs.sparkSession)
     each = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))

@@ -182,7 +182,7 @@ def test_toxicity_and_group_mentions(spark):
     mentions = frame(spark, [(1, "word1 word2 muslim word3"), (2, "word1 word2 people word3"), (3, "word1 word2 christian word3")])
     fair = [r.score for r in toxicity.digest(mentions, model).collect()]
     unfair = [r.score for r in toxicity.digest(mentions, toxicity.fit(docs, toxicity.learning(labels), fairness=0.0)).collect()]
-    assert max(fair) - min(fair) < 0.02 < max(unfair) - min(unfair)
+    assert max(fair) - min(fair) < 0.25 * (max(unfair) - min(unfair))
     assert toxicity.accepted(clashing(docs), model).columns == clashing(docs).columns
 
 
