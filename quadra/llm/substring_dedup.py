@@ -240,7 +240,7 @@ def _process(docs: DataFrame, size: int, finish, schema) -> DataFrame:
     spark = docs.sparkSession
     runtime.ship(spark)
     n = runtime.shuffle_partitions(spark)
-    buckets, groups = 2 * n, 4 * n
+    buckets = groups = n
     if dict(docs.dtypes)["doc_id"] != "bigint":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     named = docs.select("doc_id", "text").where("doc_id is not null")
