@@ -157,7 +157,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, ids: bo
     slots = Slots(plan(histogram, capacity))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = bucketed.withColumn("own", F.row_number().over(order)).join(before, ["length", "bucket"])
+    # a merge join: the counts grow with the buckets, so they are not broadcast; the window has dealt the other side already
+    ranked = bucketed.withColumn("own", F.row_number().over(order)).join(before.hint("merge"), ["length", "bucket"])
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
     ranked = ranked.select(*columns, (F.col("before") + F.col("own") - 1).alias("rank"))
     return ranked.mapInArrow(partial(_place, slots=slots), schema + ", sequence_id long, offset long")
