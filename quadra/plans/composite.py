@@ -104,7 +104,26 @@ def _crosses(spark, sf_dir):
 @_register("join_qr_equals", "SELECT id AS a, id AS b FROM geo_boxes")
 def _equals(spark, sf_dir):
     other = view(spark, sf_dir, "geo_boxes").select(F.col("id").alias("b"), S.st_rect("xmax", "ymax", "xmin", "ymin").alias("geom"))
-    return join_qr(_boxes(spark, sf_dir).select(F.col("id").alias("a"), "geom"), other, CELL, oper="equals").where("a = b").select("a", "b")
+    return join_qr(_boxes(spark, sf_dir).select(F.col("id").alias("a"), "geom"), other, CELL, oper="equals").select("a", "b")
+
+
+_STRIP = "a.xmin {0} b.xmax + 0.25e0 AND b.xmax {0} a.xmax AND a.ymin {0} b.ymax AND b.ymin {0} a.ymax"
+
+
+@_register("join_qr_touches_all", f"SELECT a.id AS a, b.id AS b FROM geo_boxes a JOIN geo_boxes b ON {_STRIP.format('<=')} AND NOT ({_STRIP.format('<')})")
+def _touches_all(spark, sf_dir):
+    """All pairs of a box and a strip on the right edge of a box that touch."""
+    own = _boxes(spark, sf_dir)
+    right = own.select(F.col("id").alias("b"), S.st_rect("xmax", "ymin", F.col("xmax") + 0.25, "ymax").alias("geom"))
+    return join_qr(own.select(F.col("id").alias("a"), "geom"), right, CELL, oper="touches").select("a", "b")
+
+
+@_register("join_qr_crosses_all", "SELECT a.id AS a, b.id AS b FROM geo_boxes a JOIN geo_boxes b ON b.ymin < a.cy AND a.cy < b.ymax AND a.xmin - 0.1e0 < b.xmax AND a.xmax + 0.1e0 > b.xmin AND NOT (a.xmin - 0.1e0 >= b.xmin AND a.xmax + 0.1e0 <= b.xmax)")
+def _crosses_all(spark, sf_dir):
+    """All pairs of a level line through a box, a little longer than it, and a box that it crosses."""
+    own = _boxes(spark, sf_dir)
+    lines = own.select(F.col("id").alias("a"), S.st_line(F.col("xmin") - 0.1, "cy", F.col("xmax") + 0.1, "cy").alias("geom"))
+    return join_qr(lines, own.select(F.col("id").alias("b"), "geom"), CELL, oper="crosses").select("a", "b")
 
 
 @_register("join_qr_points_within", f"SELECT p.id AS pid, b.id AS bid FROM geo_points p JOIN geo_boxes b ON {_IN}")
