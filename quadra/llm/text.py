@@ -5,15 +5,21 @@ A word is a maximal run of bytes other than space and \\x09-\\x0D in the UTF-8 t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-#: Odd multipliers of the polynomial hashes (fixed values).
-BYTE_BASE = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
-WORD_BASE = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
+#: Seeds of the two independent hashes of a word, and odd factors (fixed values).
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_LEFT, _RIGHT = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
+#: Bytes up to which a word is hashed eight at a time with all others; longer ones go through XXH64.
+_LONG = 64
+_KEEP = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,24 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-class Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, U(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            fill = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)]))
-            self.up, self.down = fill(self.base), fill(self.inverse)
-        return self.up[:n], self.down[:n]
-
-
-_byte_powers = tuple(Powers(b) for b in BYTE_BASE)
-_word_powers = tuple(Powers(b) for b in WORD_BASE)
-_byte_codes = tuple(mix(np.arange(256, dtype=U) + U(0x1F83D9ABFB41BD6B) * U(k + 1)) for k in range(2))
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers are used again, and Arrow and malloc keep what they have had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +51,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches between rows so that each holds about `most` bytes of text: bounded working memory."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Cut batches between rows so that each holds about `most` bytes of text; a longer text is a slice by itself."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,6 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+    release()
 
 
 class Words:
@@ -102,21 +96,46 @@ class Words:
         return np.diff(self.rows)
 
     def hashes(self, k: int = 0, most: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word (of its first `most` bytes)."""
-        up, down = _byte_powers[k].get(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, U)
-        np.cumsum(_byte_codes[k][self.data] * up[:-1], out=sums[1:])
+        """A 64-bit hash of each word (of its first `most` bytes). Every eight bytes go through `mix`, so equal sums or powers of
+        bytes do not make equal hashes; words of up to eight bytes never collide with others of their length."""
         ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
-        return mix((sums[ends] - sums[self.starts]) * down[self.starts] + U(1))
+        sizes = ends - self.starts
+        raw = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        h = mix(sizes.astype(U) + U(SEEDS[k]))
+        live = np.arange(len(sizes))
+        for at in range(0, _LONG, 8):
+            h[live] = mix(h[live] + (eight[self.starts[live] + at] & _KEEP[np.minimum(sizes[live] - at, 8)]) * _RIGHT)
+            live = live[sizes[live] > at + 8]
+            if not len(live):
+                return h
+        for w in live.tolist():
+            h[w] = xxhash.xxh64_intdigest(self.data[self.starts[w] : ends[w]], SEEDS[k])
+        return h
 
     def windows(self, size: int, k: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, row, start in row) of each run of `size` words within a row."""
         each = self.hashes(k) if hashes is None else hashes
-        up, down = _word_powers[k].get(len(each) + 1)
-        sums = np.zeros(len(each) + 1, U)
-        np.cumsum(each * up[:-1], out=sums[1:])
         at, row, start = spread(np.maximum(self.counts - size + 1, 0), self.rows[:-1])
-        return mix((sums[at + size] - sums[at]) * down[at]), row, start
+        return runs_of(each, size)[at], row, start
+
+
+def runs_of(each: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` neighbours: runs of 1, 2, 4, ... are joined pairwise, each time through `mix`."""
+    out, done, n, now = None, 0, 1, each
+    while True:
+        if size & n:
+            out = now if out is None else pair(out[: max(0, len(now) - done)], now[done:][: len(out)])
+            done += n
+        n *= 2
+        if n > size:
+            return out
+        now = pair(now[: max(0, len(now) - n // 2)], now[n // 2 :])
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in order."""
+    return mix(mix(a * _LEFT + U(1)) + b)
 
 
 def spread(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,3 +157,11 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     h = (h ^ (h >> U(33))) * p2
     h = (h ^ (h >> U(29))) * p3
     return (h ^ (h >> U(32))).view(np.int64) % buckets
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not among `taken`, whatever their case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

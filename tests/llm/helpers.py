@@ -21,4 +21,10 @@ def odd(spark):
 
 def clashing(docs):
     """With extra columns whose names the operators might use themselves."""
-    return docs.withColumns({c: F.lit("x") for c in ("bucket", "payload", "added", "row_key", "score", "fp", "rep", "ids", "component", "count")})
+    return docs.withColumns({c: F.lit("x") for c in ("bucket", "payload", "added", "row_key", "score", "fp", "rep", "ids", "component", "count", "__group", "__GROUP_", "__score", "__key", "__added", "__near_id", "__near_text", "__near_gone", "node", "key", "label", "n", "q", "r")})
+
+
+def mirror_words(n=1024):
+    """Two words that hashes made of sums of powers, modulo a power of two, cannot tell apart."""
+    first = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return first, first.translate(str.maketrans("ab", "ba"))

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from helpers import clashing, documents, frame, odd
+from helpers import clashing, documents, frame, mirror_words, odd
 from pyspark.sql import functions as F
 
 from quadra.llm import embedding_dedup, hamming_search, simhash, substring_dedup
@@ -99,12 +99,18 @@ def test_substring_dedup(spark, data):
     assert substring_dedup.digest(docs.withColumn("doc_id", F.col("doc_id").cast("int"))).count() == len(rows)
 
 
-def test_small_chunks_give_the_same(spark, data, monkeypatch):
+def test_small_chunks_and_groups_give_the_same(spark, data):
     docs = documents(spark, data, 200)
     want = sorted(map(tuple, substring_dedup.digest(docs).collect()))
-    monkeypatch.setattr(substring_dedup, "CHUNK", 500)
-    parts = substring_dedup._chunked(iter([]), 4, 10)
-    assert list(parts) == [] and want
+    assert sorted(map(tuple, substring_dedup.digest(docs, chunk=500, group_bytes=20_000).collect())) == want
+    assert sum(r[2] for r in want)
+
+
+def test_words_that_sums_of_powers_confuse_are_no_repeat(spark):
+    first, second = mirror_words()
+    same = " ".join(f"s{k}" for k in range(19))
+    out = substring_dedup.digest(frame(spark, [(1, f"{same} {first}"), (2, f"{same} {second}"), (3, f"{same} {first}")])).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {1: 0, 2: 0, 3: 20}
 
 
 def test_bucket_is_sparks(spark):
