@@ -179,13 +179,48 @@ def test_toxicity_and_group_mentions(spark):
     assert len(sure) > 40 and sum(r.predicted == truth[r.doc_id] for r in sure) >= 0.95 * len(sure)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out if r.doc_id is not None)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out) and len(out) == 410
+    plain = toxicity.fit(docs, toxicity.learning(labels), fairness=0.0)
+    assert model.swaps > 50
     mentions = frame(spark, [(1, "word1 word2 muslim word3"), (2, "word1 word2 people word3"), (3, "word1 word2 christian word3")])
     fair = [r.score for r in toxicity.digest(mentions, model).collect()]
-    unfair = [r.score for r in toxicity.digest(mentions, toxicity.fit(docs, toxicity.learning(labels), fairness=0.0)).collect()]
+    unfair = [r.score for r in toxicity.digest(mentions, plain).collect()]
     assert max(fair) - min(fair) < 0.25 * (max(unfair) - min(unfair))
+    neutral = frame(spark, [(k, f"word{k % 50} word{k % 47} muslim word{k % 43}") for k in range(200)])
+    flagged = [sum(r.predicted for r in toxicity.digest(neutral, m).collect()) for m in (model, plain)]
+    assert flagged[0] <= 2 and flagged[1] >= 20, "false positives on neutral mentions, with and without the penalty"
     assert toxicity.accepted(clashing(docs), model).columns == clashing(docs).columns
 
 
+def test_toxicity_held_out_rows_of_a_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs, toxicity.learning(labels))
+    pairs = [g for g in model.groups if len(g) == 2]
+    assert model.swaps > 1000 and len(pairs) > 3
+    held = toxicity.digest(docs, model).where("held_out").join(labels, "doc_id").collect()
+    toxic = [r.predicted for r in held if r.toxic]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in held if not r.toxic) <= 0.01 * len(held)
+
+
+def test_swapped_texts_by_hand():
+    import pyarrow as pa
+
+    texts = ["the muslimx muslim sat", "jewish and muslim", "nothing here", "jewish jewish"]
+    words = toxicity.Words(pa.array(texts), lower=True, letters=True)
+    names = {w: tuple(f) for w, f in zip(" ".join(texts).split(), toxicity._features(words).tolist(), strict=True)}
+    rows = [set(t.split()) for t in texts]
+    one, two = "muslim", "jewish"
+    want = {}
+    for row in rows:
+        for a, b in ((one, two), (two, one)):
+            if a in row:
+                before, after = ({f for w in r for f in names[w]} for r in (row, row - {a} | {b}))
+                change = tuple(sorted([(f, -1) for f in before - after] + [(f, 1) for f in after - before]))
+                want[change] = want.get(change, 0) + 1
+    row = np.array([r for r, ws in enumerate(rows) for _ in ws])
+    found = np.array([names[w] for ws in rows for w in ws])
+    assert toxicity._swaps(found, row, {names[w][0]: names[w] for w in (one, two)}, [[names[one][0], names[two][0]]]) == want
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark, 20)
     for some in (labels.limit(0), labels.where("toxic = 0")):
