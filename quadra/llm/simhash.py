@@ -7,15 +7,14 @@ One or two words make one shingle; a text without words has fingerprint zero.
 Comparison. Two fingerprints within `radius` bits agree on all but `radius` of any `radius + 4` disjoint segments, so they share
 the key made of the other four segments in some choice of them; distinct fingerprints meet under each such key. Under a key they are laid
 out as vertical bit planes in blocks; a query is compared with a whole block at once: one exclusive-or for each plane, counted by
-carry-save bitwise counters, and a block is abandoned as soon as every counter has passed the radius. Groups over
-`PROBE_FROM` are searched by the at most 1 + b + b(b-1)/2 ... values within the radius on their b free bits instead, which stays
-linear in the group. Groups are bounded: distinct fingerprints that share a key differ only on its free bits.
+carry-save bitwise counters, and a block is abandoned as soon as every counter has passed the radius. A key of more than `LARGE`
+fingerprints is cut into parts, and each pair of parts is compared in a task of its own: no task holds more than two parts.
 
 Copies collapse to one fingerprint before any comparison; a group sends a spanning forest, not its pairs.
 
 Defined cases: null text is empty; empty texts link to one another through fingerprint zero; rows with null
-doc_id get a fingerprint, and a component if a document with an id has a near one (null else); repeated rows are returned
-as often as they occur; extra columns are ignored.
+doc_id get a fingerprint and link like any other, and their component is the smallest doc_id reachable (null without one); repeated rows are returned
+as often as they occur; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +34,8 @@ from quadra.operators.components import components
 from quadra.llm.text import Words, slices
 
 BITS = 64
-BLOCK = 512
-PROBE_FROM = 4096
+#: Members of a block of bit planes; members of a part of a large key.
+BLOCK, LARGE = 1024, 8192
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -98,11 +97,6 @@ def segments(radius: int, kept: int = 4) -> list[int]:
     return [sum(c) for c in combinations(parts, kept)]
 
 
-def linked(block: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of positions, of the values within `radius` bits of one another."""
-    return _by_probing(block, radius) if len(block) > PROBE_FROM else _by_planes(block, radius)
-
-
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -157,12 +151,16 @@ class Planes:
         return self.all & ~over
 
 
-def _by_planes(values: list[int], radius: int) -> list[tuple[int, int]]:
-    forest, out = _Forest(len(values)), []
-    for begin in range(0, len(values), BLOCK):
+def linked(values: list[int], radius: int, others: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of positions, of the values within `radius` bits of one another; with `others`, of
+    the pairs of a value and one of those (their positions go on from those of the values)."""
+    n = len(values)
+    forest, out = _Forest(n + len(others or ())), []
+    asking = list(enumerate(values)) if others is None else list(enumerate(others, n))
+    for begin in range(0, n, BLOCK):
         block = Planes(values[begin : begin + BLOCK])
-        for q in range(begin, len(values)):
-            found = block.near(values[q], radius)
+        for q, value in asking[begin:] if others is None else asking:
+            found = block.near(value, radius)
             while found:
                 low = found & -found
                 found ^= low
@@ -172,100 +170,87 @@ def _by_planes(values: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _by_probing(values: list[int], radius: int) -> list[tuple[int, int]]:
-    forest, out = _Forest(len(values)), []
-    raw = np.array(values, np.uint64)
-    order = np.argsort(raw)
-    ranked = raw[order]
-    free = int(np.bitwise_or.reduce(raw ^ raw[0]))
-    bits = [1 << b for b in range(BITS) if free >> b & 1]
-    for flips in range(1, radius + 1):
-        for chosen in combinations(bits, flips):
-            want = raw ^ np.uint64(sum(chosen))
-            at = np.minimum(np.searchsorted(ranked, want), len(ranked) - 1)
-            for q in np.flatnonzero(ranked[at] == want).tolist():
-                other = int(order[at[q]])
-                if other < q and forest.join(other, q):
-                    out.append((other, q))
-    return out
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """The groups of equal keys of sorted batches, one by one; a group may go on over several batches."""
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema)}
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            new[1:] |= columns[k][1:] != columns[k][:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = {k: c[a:b] for k, c in columns.items()}
+            if held and any(held[0][k][0] != own[k][0] for k in keys):
+                yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+                held = []
+            held.append(own)
+    if held:
+        yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
 
 
 def _keys(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp, rep = batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
+        fp = batch.column("fp").to_numpy().view(np.uint64)
         for t, mask in enumerate(masks):
-            yield pa.record_batch([pa.array((fp & np.uint64(mask)).view(np.int64)), pa.array(np.full(len(fp), t, np.int8)), pa.array(fp.view(np.int64)), pa.array(rep)], names=["key", "choice", "fp", "rep"])
-
-
-def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Edges within each key of a partition sorted by (choice, key); the last key of a batch waits for the next batch."""
-    held: list[tuple] = []
-
-    def work(choice, key, fp, rep, last):
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])
-        first = np.flatnonzero(new)
-        sizes = np.diff(first, append=len(key))
-        stop = len(key) if last else int(first[-1])
-        src, dst = [], []
-        for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
-            if n < 2 or a >= stop:
-                continue
-            own = fp[a : a + n].tolist()
-            if n == 2:
-                pairs = [(0, 1)] if (own[0] ^ own[1]).bit_count() <= radius else []
-            else:
-                pairs = linked(own, radius)
-            for x, y in pairs:
-                src.append(rep[a + x])
-                dst.append(rep[a + y])
-        return pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"]), stop
-
-    def read(batch):
-        return batch.column("choice").to_numpy(), batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
+            yield pa.record_batch([pa.array((fp & np.uint64(mask)).view(np.int64)), pa.array(np.full(len(fp), t, np.int8)), pa.array(fp.view(np.int64))], names=["key", "choice", "fp"])
+
+
+_FOUND = "src long, dst long, choice byte, key long, part int, members binary"
+_FOUND_ARROW = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("choice", pa.int8()), ("key", pa.int64()), ("part", pa.int32()), ("members", pa.binary())])
 
+
+def _compare(batches: Iterator[pa.RecordBatch], radius: int, large: int) -> Iterator[pa.RecordBatch]:
+    """Edges within each key of a partition sorted by (choice, key); a key of more than `large` members comes out as its parts instead."""
+    rows: list[tuple] = []
+    for group in runs(batches, ("choice", "key")):
+        fp = group["fp"]
+        if len(fp) > large:
+            rows += [(None, None, int(group["choice"][0]), int(group["key"][0]), k, fp[a : a + large].tobytes()) for k, a in enumerate(range(0, len(fp), large))]
+        elif len(fp) > 1:
+            rows += [(int(fp[x]), int(fp[y]), None, None, None, None) for x, y in linked(fp.view(np.uint64).tolist(), radius)]
+        if len(rows) >= 4096 or len(fp) > large:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW) if rows else pa.RecordBatch.from_pylist([], _FOUND_ARROW)
+            rows = []
+    if rows:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
+
+
+def _compare_parts(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Edges between the two parts of each row (within it, if both are one)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(read(batch))
-        if held[0][1][0] == held[-1][1][-1] and held[0][0][0] == held[-1][0][-1]:
-            continue  # still one key
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        out, stop = work(*columns, last=False)
-        held = [tuple(x[stop:] for x in columns)]
-        if out.num_rows:
-            yield out
-    if held:
-        out, _ = work(*[np.concatenate(x) for x in zip(*held, strict=True)], last=True)
-        yield out
+        for i, j, a, b in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "a", "b")), strict=True):
+            own, other = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+            pairs = linked(own.view(np.uint64).tolist(), radius, None if i == j else other.view(np.uint64).tolist())
+            both = own if i == j else np.concatenate([own, other])
+            yield pa.record_batch([pa.array([both[x] for x, _ in pairs], pa.int64()), pa.array([both[y] for _, y in pairs], pa.int64())], names=["src", "dst"])
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """fps: distinct fp with rep (a node id). Edges src, dst between the reps of fingerprints within `radius` bits: a
-    spanning forest of each comparison group, repeats possible."""
+def links(fps: DataFrame, radius: int = 2, large: int = LARGE) -> DataFrame:
+    """fps: distinct fp. Edges src, dst between fingerprints within `radius` bits: a spanning forest of each comparison
+    group (or pair of parts of one), repeats possible."""
     n = runtime.shuffle_partitions(fps.sparkSession)
-    masks = segments(radius)
-    keyed = fps.select("fp", "rep").mapInArrow(partial(_keys, masks=masks), "key long, choice byte, fp long, rep long")
-    return keyed.repartition(n, "choice", "key").sortWithinPartitions("choice", "key").mapInArrow(partial(_compare, radius=radius), "src long, dst long")
+    keyed = fps.select("fp").mapInArrow(partial(_keys, masks=segments(radius)), "key long, choice byte, fp long")
+    ranked = keyed.repartition(n, "choice", "key").sortWithinPartitions("choice", "key")
+    found = runtime.save(ranked.mapInArrow(partial(_compare, radius=radius, large=large), _FOUND), "simhash-links")
+    parts = found.where("members is not null").select("choice", "key", F.col("part").alias("i"), F.col("members").alias("a"))
+    pairs = parts.join(parts.select("choice", "key", F.col("i").alias("j"), F.col("a").alias("b")), ["choice", "key"]).where("i <= j")
+    more = pairs.select("i", "j", "a", "b").repartition(n, "i", "j", F.xxhash64("a")).mapInArrow(partial(_compare_parts, radius=radius), "src long, dst long")
+    return found.where("members is null").select("src", "dst").unionAll(more)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+def _classes(prints: DataFrame, radius: int, large: int) -> DataFrame:
+    """fp, component (the smallest fingerprint reachable) of each distinct fingerprint of prints."""
+    nodes = prints.select("fp").distinct()
+    return nodes.join(components(links(nodes, radius, large)), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, large: int = LARGE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for each row of docs."""
     prints = runtime.save(fingerprints(docs, shingle), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    classes = components(links(nodes.where("rep is not null"), radius))
-    labels = nodes.join(classes, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = runtime.save(_classes(prints, radius, large), "simhash-classes")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).join(classes, "fp").groupBy("component").agg(F.min("low").alias("component_id"))
+    labels = classes.join(least, "component").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def first_of_group(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """docs with one row of each group: that of its smallest doc_id, the first if that is repeated. Rows with null doc_id stay.
-
-    The ids that go are written to the shared folder first, so that Spark knows their size when it picks the join.
-    """
-    found = near_duplicates(docs, radius, shingle)
-    rest = runtime.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-rest")
-    out = docs.join(rest, "doc_id", "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out.select(*docs.columns)

@@ -22,7 +22,7 @@ def groups_of(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-def test_planes_and_probing_agree_with_brute_force():
+def test_planes_agree_with_brute_force():
     rng = random.Random(1)
     values = [rng.getrandbits(64) for _ in range(40)]
     for v in list(values):
@@ -34,8 +34,10 @@ def test_planes_and_probing_agree_with_brute_force():
     values = list(dict.fromkeys(values))
     for radius in (0, 1, 2, 3):
         want = groups_of([(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= radius], range(len(values)))
-        assert groups_of(simhash._by_planes(values, radius), range(len(values))) == want
-        assert groups_of(simhash._by_probing(values, radius), range(len(values))) == want
+        assert groups_of(simhash.linked(values, radius), range(len(values))) == want
+        half = len(values) // 2
+        within = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= radius and (j < half <= i)]
+        assert groups_of(simhash.linked(values[:half], radius, values[half:]), range(len(values))) == groups_of(within, range(len(values)))
     planes = simhash.Planes(values)
     for q in values[:30]:
         for radius in range(6):
@@ -64,11 +66,42 @@ def test_simhash_groups(spark, data):
         if r.doc_id is not None:
             least[same[p]] = min(least.get(same[p], r.doc_id), r.doc_id)
     assert all(r.component_id == least.get(same[int(r.fingerprint, 16)]) for r in out)
-    kept = simhash.first_of_group(docs, radius=2).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(least.values()))
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_chains_through_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.select("doc_id", F.col("n_chars").alias("fp")))
+    rows = [(5, None, None, None, 0), (None, None, None, None, 3), (4, None, None, None, 15), (3, None, None, None, 127 << 40)]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert {r.doc_id: r.component_id for r in out} == {5: 4, None: 4, 4: 4, 3: 3}
+
+
+def test_large_keys_are_compared_in_parts(spark):
+    """Keys of many fingerprints, 40 members at most in a part."""
+    rng = random.Random(8)
+    values = set()
+    while len(values) < 900:
+        v = rng.getrandbits(20)
+        values |= {v, v ^ (1 << rng.randrange(20)), v ^ (3 << rng.randrange(19))}
+    values = sorted(values)
+    want = groups_of([(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 2], values)
+    for large in (40, 8192):
+        found = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 2, large).collect()
+        assert all((r.src ^ r.dst).bit_count() <= 2 for r in found)
+        assert groups_of([(r.src, r.dst) for r in found], values) == want
+
+
+def test_six_thousand_fingerprints_by_planes():
+    rng = random.Random(9)
+    values = list({rng.getrandbits(21) for _ in range(6100)})
+    assert len(values) > 6000
+    known, want = {v: i for i, v in enumerate(values)}, []
+    for v, i in known.items():
+        near = [v ^ (1 << b) for b in range(21)] + [v ^ (1 << b) ^ (1 << c) for b in range(21) for c in range(b)]
+        want += [(i, known[w]) for w in near if w in known]
+    assert groups_of(simhash.linked(values, 2), range(len(values))) == groups_of(want, range(len(values)))
+
+
 def substring_by_hand(rows, size=20):
     seen, out = {}, []
     for r in sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id):
