@@ -207,6 +207,13 @@ def qr_fromxy(x, y, cell) -> Column:
     return _pack(F.floor(_d(x) / _d(cell)), F.floor(_d(y) / _d(cell))).alias("qr")
 
 
+def qr_point(x, y, cell) -> Column:
+    """The one cell of a place with its envelope, as qr_envp lists them for a point, by arithmetic alone."""
+    x, y = _d(x), _d(y)
+    place = F.struct(qr_fromxy(x, y, cell).alias("qr"), x.alias("xmin"), y.alias("ymin"), x.alias("xmax"), y.alias("ymax"))
+    return F.when((x + y).isNotNull() & ~F.isnan(x + y), place).alias("qr")
+
+
 def qr_fromgeom(geom, cell) -> Column:
     """Grid key of the lower left corner of the envelope."""
     e = native("quadra_extent", _c(geom))

@@ -27,14 +27,25 @@ OPERS = {
     "touches": "touches",
     "within": "within",
 }
-#: A side is broadcast on request only if Spark's estimate of it is within this many bytes.
-BROADCAST_BYTES = 256 << 20
+#: A side is broadcast on request only if its rows, one for each cell that they touch, have so many bytes at most (counted).
+BROADCAST_BYTES = 64 << 20
 _QR_FIELDS = ("qr", "xmin", "ymin", "xmax", "ymax")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a DataFrame's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def counted_bytes(celled: DataFrame) -> int:
+    """Bytes of a side's rows as they would be broadcast: counted after the cells are listed, so a large envelope on a small grid counts in full."""
+    variable = [F.coalesce(F.length(c), F.lit(0)) for c, kind in celled.dtypes if kind in ("binary", "string")]
+    row = sum(variable, F.lit(16 * len(celled.columns) + 80))
+    return int(celled.agg(F.sum(row)).first()[0] or 0)
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Rows of an input with fewer splits than the cluster has cores, dealt to all of them: the streamed side of a broadcast join keeps its splits
+    otherwise. Larger inputs are left as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, F.xxhash64(by)) if size < cores * (16 << 20) else df
 
 
 def _check_name(df: DataFrame, name: str, kind, what: str) -> None:
@@ -68,8 +79,8 @@ def join_qr(lhs: DataFrame, rhs: DataFrame, cell: float, dist: float = 0.0, qr:
     """Inner join of rows whose envelopes (grown by dist) overlap and whose geometries satisfy `oper`.
 
     Output: lhs's columns, then rhs's, without `qr`. A side without the column `qr` gets it from its geometry. oper: none, contains, crosses,
-    equals, intersects (intersection), overlaps, touches, within. broadcast: "lhs" or "rhs", a request that holds while Spark estimates the side at
-    `broadcast_bytes` or less; beyond that the join shuffles. acceleration (mild, medium, hot) is accepted; prepared geometries are always used.
+    equals, intersects (intersection), overlaps, touches, within. broadcast: "lhs" or "rhs", a request that holds while the side, counted
+    with its cells listed, has `broadcast_bytes` or less; beyond that the join shuffles. A side of points is cheapest with `qr` from qr_point. acceleration (mild, medium, hot) is accepted; prepared geometries are always used.
     """
     if not (cell > 0 and math.isfinite(cell)):
         raise ValueError("cell must be finite and above zero")
@@ -93,18 +104,31 @@ def join_qr(lhs: DataFrame, rhs: DataFrame, cell: float, dist: float = 0.0, qr:
     condition = (F.col(lqr)["qr"] == F.col(rqr)["qr"]) & S.qr_intersect(F.col(lqr), F.col(rqr), float(cell))
     if relation:
         condition &= native(f"quadra_{relation}", F.col(f"l{at(left, lhs_geom)}"), F.col(f"r{at(right, rhs_geom)}"), F.lit(str(wkid)))
-    if broadcast == "lhs" and estimated_bytes(lhs) <= broadcast_bytes:
-        l = F.broadcast(l)
-    if broadcast == "rhs" and estimated_bytes(rhs) <= broadcast_bytes:
-        r = F.broadcast(r)
+    if broadcast == "lhs" and counted_bytes(left) <= broadcast_bytes:
+        l, r = F.broadcast(l), spread(r, rqr)
+    if broadcast == "rhs" and counted_bytes(right) <= broadcast_bytes:
+        l, r = spread(l, lqr), F.broadcast(r)
     keep = [(n, c) for n, c in zip(left_names, left.columns, strict=True) if n != lqr] + [(n, c) for n, c in zip(right_names, right.columns, strict=True) if n != rqr]
     return l.join(r, condition).select(*(F.col(n).alias(c) for n, c in keep))
 
 
-def distance_join(points: DataFrame, geoms: DataFrame, distance: float, cell: float | None = None, point: Column | str = "geom", geom: str = "geom") -> DataFrame:
-    """Pairs of a point and a geometry within `distance`: the geometry is listed in every cell near it, the point in its own, so a pair meets once."""
+def distance_join(points: DataFrame, geoms: DataFrame, distance: float, cell: float | None = None, point: str = "geom", geom: str = "geom", xy: tuple[str, str] | None = None, broadcast: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Pairs of a point and a geometry within `distance`: the geometry is listed in every cell near it, the point in its own, so a pair meets once.
+
+    The point must lie in the grown envelope before the exact distance is asked for. xy: columns of the points' coordinates, if there are any. broadcast: a request to
+    broadcast the geometries, which holds while they, with their cells, have `broadcast_bytes` or less. Output: the points' columns, then the others of geoms.
+    """
     cell = cell or max(distance * 4, 1e-9)
-    l = points.withColumn("__qr", S.qr_fromgeom(point, cell)).alias("l")
-    r = geoms.withColumnRenamed(geom, "__geom").withColumn("__cell", S.qr_list_explode("__geom", cell, distance)).alias("r")
-    near = native("quadra_dwithin", F.col(f"l.{point}") if isinstance(point, str) else point, F.col("r.__geom"), F.lit(float(distance)))
-    return l.join(r, (F.col("__qr") == F.col("__cell")) & near).drop("__qr", "__cell", "__geom")
+    x, y = (F.col(c).cast("double") for c in xy) if xy else (S.st_x(point), S.st_y(point))
+    left_names, right_names = [f"l{k}" for k in range(len(points.columns))], [f"r{k}" for k in range(len(geoms.columns))]
+    placed = points.withColumns({"quadra x": x, "quadra y": y}).toDF(*left_names, "x", "y").where("not isnan(x + y)").withColumn("cell", S.qr_fromxy("x", "y", cell))
+    right = geoms.toDF(*right_names)
+    own, other = left_names[points.columns.index(point)], right_names[geoms.columns.index(geom)]
+    right = right.where(F.col(other).isNotNull()).withColumn("q", S.qr_envp_explode(F.col(other), cell, distance))
+    if broadcast and counted_bytes(right) <= broadcast_bytes:
+        placed, right = spread(placed.withColumn("at", F.struct("x", "y")), "at"), F.broadcast(right)
+    q = F.col("q")
+    near = (F.col("x") >= q["xmin"]) & (F.col("x") <= q["xmax"]) & (F.col("y") >= q["ymin"]) & (F.col("y") <= q["ymax"])
+    out = placed.join(right, (F.col("cell") == q["qr"]) & near & native("quadra_dwithin", F.col(own), F.col(other), F.lit(float(distance))))
+    keep = [(n, c) for n, c in zip([*left_names, *right_names], [*points.columns, *geoms.columns], strict=True) if n != other]
+    return out.select(*(F.col(n).alias(c) for n, c in keep))

@@ -34,6 +34,11 @@ def _points(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "geo_points").withColumn("geom", S.st_point())
 
 
+def _celled_points(spark, sf_dir) -> DataFrame:
+    """Points with their cell and envelope by arithmetic."""
+    return _points(spark, sf_dir).withColumn("qr", S.qr_point("x", "y", CELL))
+
+
 def _boxes(spark, sf_dir, size: str = "id", geom: str = "geom") -> DataFrame:
     return view(spark, sf_dir, "geo_boxes").withColumn(geom, _box())
 
@@ -77,7 +82,7 @@ _CONTAINS = "a.xmin <= b.xmin AND a.xmax >= b.xmax AND a.ymin <= b.ymin AND a.ym
 for _name, _oper, _condition, _settings in (
     ("join_qr_none", "none", _MEET, {}),
     ("join_qr_intersects", "intersects", _MEET, {}),
-    ("join_qr_intersection_broadcast", "intersection", _MEET.replace("<=", "<="), {"broadcast": "rhs"}),
+    ("join_qr_intersection_broadcast", "intersection", _MEET, {"broadcast": "rhs"}),
     ("join_qr_within", "within", _WITHIN, {}),
     ("join_qr_contains", "contains", _CONTAINS, {"broadcast": "lhs"}),
     ("join_qr_overlaps", "overlaps", f"{_MEET} AND NOT ({_WITHIN}) AND NOT ({_CONTAINS})", {}),
@@ -86,21 +91,6 @@ for _name, _oper, _condition, _settings in (
     _register(_name, _o)(_q)
 
 
-@_register("join_qr_touches", "SELECT id AS a, id AS b FROM geo_boxes WHERE id % 7 = 0")
-def _touches(spark, sf_dir):
-    """Boxes and neighbours that share their right edges."""
-    own = _boxes(spark, sf_dir).where("id % 7 = 0")
-    right = own.select(F.col("id").alias("b"), S.st_rect("xmax", "ymin", F.col("xmax") + 0.25, "ymax").alias("geom"))
-    return join_qr(own.select(F.col("id").alias("a"), "geom"), right, CELL, oper="touches").where("a = b").select("a", "b")
-
-
-@_register("join_qr_crosses", "SELECT id AS a, id AS b FROM geo_boxes WHERE id % 7 = 0")
-def _crosses(spark, sf_dir):
-    own = _boxes(spark, sf_dir).where("id % 7 = 0")
-    lines = own.select(F.col("id").alias("a"), S.st_line(F.col("xmin") - 0.1, "cy", F.col("xmax") + 0.1, "cy").alias("geom"))
-    return join_qr(lines, own.select(F.col("id").alias("b"), "geom"), CELL, oper="crosses").where("a = b").select("a", "b")
-
-
 @_register("join_qr_equals", "SELECT id AS a, id AS b FROM geo_boxes")
 def _equals(spark, sf_dir):
     other = view(spark, sf_dir, "geo_boxes").select(F.col("id").alias("b"), S.st_rect("xmax", "ymax", "xmin", "ymin").alias("geom"))
@@ -110,16 +100,16 @@ def _equals(spark, sf_dir):
 _STRIP = "a.xmin {0} b.xmax + 0.25e0 AND b.xmax {0} a.xmax AND a.ymin {0} b.ymax AND b.ymin {0} a.ymax"
 
 
-@_register("join_qr_touches_all", f"SELECT a.id AS a, b.id AS b FROM geo_boxes a JOIN geo_boxes b ON {_STRIP.format('<=')} AND NOT ({_STRIP.format('<')})")
-def _touches_all(spark, sf_dir):
+@_register("join_qr_touches", f"SELECT a.id AS a, b.id AS b FROM geo_boxes a JOIN geo_boxes b ON {_STRIP.format('<=')} AND NOT ({_STRIP.format('<')})")
+def _touches(spark, sf_dir):
     """All pairs of a box and a strip on the right edge of a box that touch."""
     own = _boxes(spark, sf_dir)
     right = own.select(F.col("id").alias("b"), S.st_rect("xmax", "ymin", F.col("xmax") + 0.25, "ymax").alias("geom"))
     return join_qr(own.select(F.col("id").alias("a"), "geom"), right, CELL, oper="touches").select("a", "b")
 
 
-@_register("join_qr_crosses_all", "SELECT a.id AS a, b.id AS b FROM geo_boxes a JOIN geo_boxes b ON b.ymin < a.cy AND a.cy < b.ymax AND a.xmin - 0.1e0 < b.xmax AND a.xmax + 0.1e0 > b.xmin AND NOT (a.xmin - 0.1e0 >= b.xmin AND a.xmax + 0.1e0 <= b.xmax)")
-def _crosses_all(spark, sf_dir):
+@_register("join_qr_crosses", "SELECT a.id AS a, b.id AS b FROM geo_boxes a JOIN geo_boxes b ON b.ymin < a.cy AND a.cy < b.ymax AND a.xmin - 0.1e0 < b.xmax AND a.xmax + 0.1e0 > b.xmin AND NOT (a.xmin - 0.1e0 >= b.xmin AND a.xmax + 0.1e0 <= b.xmax)")
+def _crosses(spark, sf_dir):
     """All pairs of a level line through a box, a little longer than it, and a box that it crosses."""
     own = _boxes(spark, sf_dir)
     lines = own.select(F.col("id").alias("a"), S.st_line(F.col("xmin") - 0.1, "cy", F.col("xmax") + 0.1, "cy").alias("geom"))
@@ -128,8 +118,8 @@ def _crosses_all(spark, sf_dir):
 
 @_register("join_qr_points_within", f"SELECT p.id AS pid, b.id AS bid FROM geo_points p JOIN geo_boxes b ON {_IN}")
 def _points_within(spark, sf_dir):
-    points = _points(spark, sf_dir).select(F.col("id").alias("pid"), "geom")
-    return join_qr(points, _boxes(spark, sf_dir).select(F.col("id").alias("bid"), "geom"), CELL, oper="within").select("pid", "bid")
+    points = _celled_points(spark, sf_dir).select(F.col("id").alias("pid"), "geom", "qr")
+    return join_qr(points, _boxes(spark, sf_dir).select(F.col("id").alias("bid"), "geom"), CELL, oper="within", broadcast="rhs").select("pid", "bid")
 
 
 @_register("distance_join", f"SELECT p.id AS pid, b.id AS bid FROM geo_points p JOIN geo_boxes b ON {_GAP} <= 0.3e0")
@@ -300,9 +290,8 @@ def _q5(spark, sf_dir):
 @_register("q6_points_by_box_in_area", f"SELECT b.id, b.name, count(*) AS n, round(avg(p.price), 7) AS avg_price FROM geo_points p JOIN geo_boxes b ON {_IN} WHERE b.xmin <= 60 AND b.xmax >= -60 AND b.ymin <= 40 AND b.ymax >= -40 GROUP BY b.id, b.name")
 def _q6(spark, sf_dir):
     area = S.st_fromtext(F.lit("POLYGON ((-60 -40, -60 40, 60 40, 60 -40, -60 -40))"))
-    cells = _boxes(spark, sf_dir).where(S.st_intersects("geom", area)).select(F.col("id").alias("bid"), "name", F.col("geom").alias("bgeom"), S.qr_list_explode("geom", CELL).alias("cell"))
-    rows = _points(spark, sf_dir).withColumn("qr", S.qr_fromxy("x", "y", CELL))
-    pairs = rows.join(cells, (F.col("qr") == F.col("cell")) & S.st_within("geom", "bgeom"))
+    inside = _boxes(spark, sf_dir).where(S.st_intersects("geom", area)).select(F.col("id").alias("bid"), "name", "geom")
+    pairs = join_qr(_celled_points(spark, sf_dir).select("price", "geom", "qr"), inside, CELL, oper="within", broadcast="rhs").select("bid", "name", "price")
     return pairs.groupBy(F.col("bid").alias("id"), "name").agg(F.count("*").alias("n"), _r(F.avg("price"), 7).alias("avg_price"))
 
 
@@ -319,7 +308,7 @@ def _q7(spark, sf_dir):
 @_register("q8_points_near_boxes", f"SELECT b.id, b.name, count(*) AS n FROM geo_points p JOIN geo_boxes b ON {_GAP} <= 0.45e0 GROUP BY b.id, b.name ORDER BY n DESC, b.id LIMIT 100")
 def _q8(spark, sf_dir):
     boxes = _boxes(spark, sf_dir).select(F.col("id").alias("bid"), "name", "geom")
-    pairs = distance_join(_points(spark, sf_dir).select("geom"), boxes, 0.45, cell=CELL)
+    pairs = distance_join(_points(spark, sf_dir).select("x", "y", "geom"), boxes, 0.45, cell=CELL, xy=("x", "y"), broadcast=True)
     return pairs.groupBy(F.col("bid").alias("id"), "name").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "id").limit(100)
 
 
@@ -330,14 +319,15 @@ _COMMON = "(least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b
 def _q9(spark, sf_dir):
     a, b = _boxes(spark, sf_dir).select(F.col("id").alias("a"), F.col("geom").alias("ag")), _boxes(spark, sf_dir).select(F.col("id").alias("b"), F.col("geom").alias("bg"))
     pairs = join_qr(a, b, CELL, oper="intersects", lhs_geom="ag", rhs_geom="bg").where("a < b")
-    rows = pairs.select("a", "b", _r(S.st_area(S.st_intersection("ag", "bg"))).alias("overlap"), _r(S.st_iou("ag", "bg")).alias("iou"))
+    rows = pairs.withColumn("common", S.st_area(S.st_intersection("ag", "bg"))).withColumn("iou", F.col("common") / (S.st_area("ag") + S.st_area("bg") - F.col("common")))
+    rows = rows.select("a", "b", _r(F.col("common")).alias("overlap"), _r(F.col("iou")).alias("iou"))
     return rows.orderBy(F.col("iou").desc(), "a", "b").limit(100)
 
 
 @_register("q10_all_boxes", f"SELECT b.id, b.name, round(avg(p.price), 4) AS avg_price, count(p.id) AS n FROM geo_boxes b LEFT JOIN geo_points p ON {_IN} GROUP BY b.id, b.name ORDER BY avg_price DESC NULLS LAST, b.id LIMIT 100")
 def _q10(spark, sf_dir):
     boxes = _boxes(spark, sf_dir).select("id", "name", "geom")
-    hits = join_qr(_points(spark, sf_dir).select("price", "geom"), boxes.select("id", "geom"), CELL, oper="within")
+    hits = join_qr(_celled_points(spark, sf_dir).select("price", "geom", "qr"), boxes.select("id", "geom"), CELL, oper="within", broadcast="rhs")
     each = hits.groupBy("id").agg(F.avg("price").alias("p"), F.count("*").alias("k"))
     out = boxes.select("id", "name").join(each, "id", "left").select("id", "name", _r(F.col("p"), 4).alias("avg_price"), F.coalesce("k", F.lit(0)).cast("long").alias("n"))
     return out.orderBy(F.col("avg_price").desc_nulls_last(), "id").limit(100)
@@ -352,11 +342,12 @@ _ENDS = "SELECT id, 0 AS e, x1 AS x, y1 AS y FROM geo_segments UNION ALL SELECT
     " same AS (SELECT id FROM hit GROUP BY id, box HAVING count(DISTINCT e) = 2) SELECT CAST((SELECT sum(np * nd) FROM each) - (SELECT count(*) FROM same) AS BIGINT) AS n",
 )
 def _q11(spark, sf_dir):
-    rows = view(spark, sf_dir, "geo_segments")
-    ends = rows.select("id", F.lit(0).alias("e"), S.st_point("x1", "y1")).unionAll(rows.select("id", F.lit(1), S.st_point("x2", "y2")))
-    hit = join_qr(ends, _boxes(spark, sf_dir).select(F.col("id").alias("box"), "geom"), CELL, oper="within").select("id", "e", "box")
-    both = hit.groupBy("id", "box").agg(F.count_distinct("e").alias("d"), F.sum(1 - F.col("e")).alias("p"), F.sum("e").alias("q"))
-    each = both.groupBy("id").agg((F.sum("p") * F.sum("q") - F.sum((F.col("d") == 2).cast("long"))).alias("n"))
+    rows = view(spark, sf_dir, "geo_segments").repartition("id")  # a segment's hits stay where it is
+    ends = rows.select("id", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.col(f"x{e + 1}").alias("x"), F.col(f"y{e + 1}").alias("y")) for e in (0, 1)])).alias("p")).select("id", "p.*")
+    ends = ends.select("id", "e", S.st_point("x", "y"), S.qr_point("x", "y", CELL))
+    hit = join_qr(ends, _boxes(spark, sf_dir).select(F.col("id").alias("box"), "geom"), CELL, oper="within", broadcast="rhs").select("id", "e", "box")
+    both = hit.groupBy("id", "box").agg(F.bit_or(F.col("e") + 1).alias("d"), F.sum(1 - F.col("e")).alias("p"), F.sum("e").alias("q"))
+    each = both.groupBy("id").agg((F.sum("p") * F.sum("q") - F.sum((F.col("d") == 3).cast("long"))).alias("n"))
     return each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
 
@@ -438,14 +429,8 @@ def _shapefile_rows(spark, sf_dir) -> DataFrame:
     return out.select(F.col("id").cast("long").alias("id"), "name", _r(e["xmin"]).alias("xmin"), _r(e["ymax"]).alias("ymax"))
 
 
-@_register("shapefile_round_trip", "SELECT id, name, round(xmin, 6) AS xmin, round(ymax, 6) AS ymax FROM geo_boxes WHERE id <= 300")
+@_register("shapefile_round_trip", "SELECT id, name, round(xmin, 6) AS xmin, round(ymax, 6) AS ymax FROM geo_boxes")
 def _shapefile(spark, sf_dir):
-    """All boxes make the round trip; the SQL of this name shows the first 300 only."""
-    return _shapefile_rows(spark, sf_dir).where("id <= 300")
-
-
-@_register("shapefile_round_trip_all", "SELECT id, name, round(xmin, 6) AS xmin, round(ymax, 6) AS ymax FROM geo_boxes")
-def _shapefile_all(spark, sf_dir):
     return _shapefile_rows(spark, sf_dir)
 
 

@@ -28,6 +28,37 @@ def test_join_qr_reports_a_pair_once(spark):
         join_qr(left, right, 0.0)
 
 
+def test_cells_of_a_point_by_arithmetic(spark):
+    rows = spark.createDataFrame([(0.5, -3.25), (-5.0, 5.0), (12.5, 7.0), (float("nan"), 1.0), (None, 2.0)], "x double, y double").withColumn("geom", S.st_point())
+    both = rows.select(S.qr_point("x", "y", 2.5).alias("own"), F.get(S.qr_envp("geom", 2.5), 0).alias("listed"))
+    assert all(r.own == r.listed for r in both.collect())
+
+
+def test_broadcast_is_decided_on_the_listed_cells(spark):
+    """One large rectangle on a fine grid is small as a row, and 10,000 rows once its cells are listed."""
+    points = spark.range(50).select("id", S.st_point(F.col("id") % 10, F.col("id") / 10.0), S.qr_point(F.col("id") % 10, F.col("id") / 10.0, 0.1))
+    one = spark.range(1).select(F.col("id").alias("rid"), S.st_rect(F.lit(-0.5), F.lit(-0.5), F.lit(9.45), F.lit(9.45)).alias("geom"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = {most: join_qr(points, one, 0.1, oper="within", broadcast="rhs", broadcast_bytes=most) for most in (1 << 30, 1 << 18)}
+        assert "BroadcastHashJoin" in plan(joined[1 << 30]) and "BroadcastHashJoin" not in plan(joined[1 << 18])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {df.count() for df in joined.values()} == {50}
+
+
+def test_knn_join_without_broadcast(spark, monkeypatch):
+    from quadra.operators import knn
+
+    rng = random.Random(3)
+    l = spark.createDataFrame([(k, rng.uniform(0, 9), rng.uniform(0, 9)) for k in range(80)], "a long, x double, y double").select("a", S.st_point().alias("p"))
+    r = spark.createDataFrame([(k, rng.uniform(0, 9), rng.uniform(0, 9)) for k in range(70)], "b long, x double, y double").select("b", S.st_point().alias("q"))
+    want = sorted(map(tuple, knn_join(l, r, 4, "p", "q").select("a", "b").collect()))
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, knn_join(l, r, 4, "p", "q").select("a", "b").collect())) == want and len(want) == 320
+
+
 def test_knn_join_against_brute_force(spark):
     rng = random.Random(11)
     points = [(k, rng.uniform(-1, 11), rng.uniform(-1, 11)) for k in range(60)] + [(100, -120.0, -45.0), (101, 179.0, 89.0)]

@@ -15,7 +15,7 @@ def by_sql(name, data):
     return sorted(con.execute(plans.oracle_sql()[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["shapefile_round_trip", "shapefile_round_trip_all"])
+@pytest.mark.parametrize("name", ["shapefile_round_trip"])
 def test_query_is_its_sql(spark, data, name):
     got = sorted(map(tuple, plans.queries()[name](spark, data).collect()))
     want = by_sql(name, data)
@@ -24,11 +24,11 @@ def test_query_is_its_sql(spark, data, name):
 
 def test_shapefile_round_trip_has_all_boxes(spark):
     """0.01 has more than 300 boxes."""
-    rows = plans.queries()["shapefile_round_trip_all"](spark, "/root/testdata/sf0.01").count()
+    rows = plans.queries()["shapefile_round_trip"](spark, "/root/testdata/sf0.01").count()
     assert rows == duckdb.connect().execute("SELECT count(*) FROM '/root/testdata/sf0.01/customer.parquet'").fetchall()[0][0] > 300
 
 
-@pytest.mark.parametrize("name", ["join_qr_touches", "join_qr_crosses", "join_qr_equals", "join_qr_touches_all", "join_qr_crosses_all"])
+@pytest.mark.parametrize("name", ["join_qr_touches", "join_qr_crosses", "join_qr_equals"])
 def test_join_is_its_sql(spark, name):
     data = "/root/testdata/sf0.01"
     got = sorted(map(tuple, plans.queries()[name](spark, data).collect()))
@@ -55,8 +55,8 @@ def test_joins_of_a_lattice(spark, monkeypatch):
     touch = lambda a, b: min(f(a, b) for f in meet) == 0
     cross = lambda m, b: b[1] < m[1] < b[3] and m[0] < b[2] and m[2] > b[0] and not (m[0] >= b[0] and m[2] <= b[2])
     want = {
-        "join_qr_touches_all": [(a, b) for a in box for b in box if touch(box[a], strip[b])],
-        "join_qr_crosses_all": [(a, b) for a in box for b in box if cross(line[a], box[b])],
+        "join_qr_touches": [(a, b) for a in box for b in box if touch(box[a], strip[b])],
+        "join_qr_crosses": [(a, b) for a in box for b in box if cross(line[a], box[b])],
         "join_qr_equals": [(a, b) for a in box for b in box if box[a] == box[b]],
     }
     for name, pairs in want.items():
