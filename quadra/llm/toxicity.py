@@ -1,7 +1,7 @@
 """A toxicity classifier with counterfactual regularisation.
 
-Model. Logistic regression on the presence of words and of word beginnings of four and five bytes (hashed to 2**22 features; those in two sampled rows or more have a weight; a feature's
-value grows smoothly with its correlation with the label, so that rare words do not learn the rows by heart). It is fitted on the driver from a bounded sample of labelled rows; scoring is one map over whole texts.
+Model. Logistic regression on the presence of words and of word beginnings of four and five bytes (hashed to 2**20 features; those in two sampled rows or more have a weight; a feature's
+value grows smoothly with its correlation with the label, so that rare words do not learn the rows by heart). It is fitted in one task from a bounded sample of labelled rows; scoring is one map over whole texts.
 
 Counterfactuals. Identity groups are lists of terms that may stand for one another: those of `groups` (a parameter), and pairs induced from the labelled
 texts, namely words that are about as frequent under both labels and are each other's nearest neighbour by the words that stand
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadra import runtime
-from quadra.llm.text import U, Words, fresh, slices
+from quadra.llm.text import U, Words, fresh, release, slices
 
-FEATURE_BITS = 22
+FEATURE_BITS = 20
 #: Rows of each label that the fit takes at most (those of smallest hashed doc_id), and the bytes of their texts: rows beyond stay out whole.
 SAMPLE, SAMPLE_BYTES = (2000, 4000), 64 << 20
 #: A word is a candidate for an induced pair from this share of the rows of either label, within this factor between the labels.
@@ -204,6 +204,28 @@ def train(words: np.ndarray, ends: np.ndarray, toxic: np.ndarray, groups: tuple
     return Model(chosen.astype(np.int64), w * value, float(b), int(times.sum()), listed)
 
 
+_SAMPLED = "doc_id long, toxic int, words array<int>"
+
+
+def _fit(batches: Iterator[pa.RecordBatch], groups: tuple, fairness: float) -> Iterator[pa.RecordBatch]:
+    """All sampled rows to a model: kind 0 has weights, 1 the intercept, 2 the swaps, 3 the members of the groups."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending")])
+        listed = table.column("words").combine_chunks()
+        ends = np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False)) // 3
+        model = train(listed.flatten().to_numpy(zero_copy_only=False), ends, table.column("toxic").to_numpy().astype(float), groups, fairness)
+    else:
+        model = _constant(0.0)
+    used = np.flatnonzero(model.weights)
+    members = [(f, g) for g, group in enumerate(model.groups or []) for f in group]
+    feature = [*model.features[used].tolist(), 0, 0, *(f for f, _ in members)]
+    value = [*model.weights[used].tolist(), model.intercept, float(model.swaps), *(float(g) for _, g in members)]
+    kind = [0] * len(used) + [1, 2] + [3] * len(members)
+    release()
+    yield pa.record_batch([pa.array(kind, pa.int8()), pa.array(feature, pa.int64()), pa.array(value, pa.float64())], names=["kind", "feature", "value"])
+
+
 def learning(labels: DataFrame) -> DataFrame:
     """The labels that may be learned from: crc32 of doc_id as text, modulo 5, is not 0."""
     return labels.where("toxic is not null and doc_id is not null and crc32(cast(cast(doc_id as bigint) as string)) % 5 <> 0")
@@ -222,10 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sa
     if sum(size or 0 for size in sizes.column("size").to_pylist()) > sample_bytes:
         within = np.cumsum([size or 0 for size in sizes.column("size").to_pylist()]) <= sample_bytes
         rows = rows.where(F.col("doc_id").isin(np.array(sizes.column("doc_id").to_pylist())[within].tolist()))
-    table = rows.mapInArrow(_sampled, "doc_id long, toxic int, words array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    listed = table.column("words").combine_chunks()
-    ends = np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False)) // 3
-    return train(listed.flatten().to_numpy(zero_copy_only=False), ends, np.array(table.column("toxic").to_pylist(), float), groups, fairness)
+    sampled = rows.mapInArrow(_sampled, _SAMPLED).repartition(1)  # sum(sample) rows and sample_bytes of text at most
+    fitted = sampled.mapInArrow(partial(_fit, groups=groups, fairness=fairness), "kind byte, feature long, value double").toArrow()
+    kind, feature, value = (fitted.column(c).to_numpy() for c in ("kind", "feature", "value"))
+    members = [feature[(kind == 3) & (value == g)].tolist() for g in range(int(value[kind == 3].max(initial=-1)) + 1)]
+    return Model(feature[kind == 0], value[kind == 0], float(value[kind == 1][0]), int(value[kind == 2][0]), members)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, name: str) -> Iterator[pa.RecordBatch]:
