@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from helpers import clashing, documents, frame, odd
+from helpers import clashing, documents, frame, mirror_words, odd
 
 from quadra.llm import packing, pitman_yor, sentencepiece_codec, token_orc, tokens, toxicity
 from quadra.runtime import scratch_path
@@ -108,24 +108,34 @@ def test_token_orc(spark, data):
     assert ids == sorted(ids)
     one = token_orc.read(spark, path).where("doc_id = 17").collect()
     assert [r.ids for r in one] == [i for d, i in rows if d == 17]
-    assert want == []
+    from pathlib import Path
+
+    from pyarrow import orc
+
+    files = [f for f in (orc.ORCFile(p) for p in sorted(Path(path.removeprefix("file:")).glob("*.orc"))) if f.nrows]
+    for f in files:  # version 0.12 is run-length encoding 2
+        assert f.row_index_stride == 1000 and str(f.file_version) == "0.12" and str(f.compression).lower() == "zstd"
+        t = f.read()
+        want.append(([(d, len(i)) for d, i in zip(t["doc_id"].to_pylist(), t["ids"].to_pylist(), strict=True)]))
+    in_files = [x for part in sorted(want, key=lambda p: -1 if p[0][0] is None else p[0][0]) for x in part]
+    assert [(r.doc_id, r.n_tokens) for r in ordered] == in_files, "start is the place in the files, also of repeated ids"
 
 
 def test_pitman_yor_counts_and_perplexity(spark, data):
     docs = documents(spark, data, 200)
-    out = {r.doc_id: r for r in pitman_yor.digest(clashing(docs.unionByName(odd(spark)))).collect()}
-    texts = collections.defaultdict(list)
-    for r in docs.unionByName(odd(spark)).collect():
-        if r.doc_id is not None:
-            texts[r.doc_id] += [*(r.text or "").encode().lower().split(), None]
-    assert set(out) == set(texts)
-    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
-    count = collections.Counter(w for d, ws in texts.items() if not held[d] for w in ws)
+    both = docs.unionByName(odd(spark))
+    out = pitman_yor.digest(clashing(both)).collect()
+    rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), None]) for r in both.collect()]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    count = collections.Counter(w for d, ws in rows if not held(d) for w in ws)
     n, v = sum(count.values()), len(count)
-    for d, ws in texts.items():
-        r = out[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(ws), sum(count[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
+    want = sorted((-1 if d is None else d, len(ws), sum(count[w] > 0 for w in ws), sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in rows)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in out)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-9)
+    assert all(r.held_out == held(r.doc_id) and r.train_tokens == n for r in out)
+    out = {r.doc_id: r for r in out if r.doc_id is not None}
     for part in (True, False):
         own = [r for d, r in out.items() if r.held_out is part and d < 9000]
         assert sum(r.score for r in own) > sum(r.base_score for r in own)
@@ -144,12 +154,40 @@ def test_predictive_probabilities_sum_to_one(spark, data):
         assert total == pytest.approx(1, abs=1e-9)
 
 
-def test_seating_is_within_bounds():
+def test_scores_do_not_depend_on_partitions(spark, data):
+    docs, found = documents(spark, data, 60), []
+    for n in ("3", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(map(tuple, pitman_yor.digest(docs).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+
+
+def test_unseen_words_are_unknown_whatever_sums_of_powers_say(spark):
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    other = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 != 2)
+    first, second = mirror_words()
+    out = {r.doc_id: r for r in pitman_yor.digest(frame(spark, [(other, first), (held, second)])).collect()}
+    assert out[held].held_out and out[held].n_known == 1 and out[other].n_known == 2
+
+
+def test_log_gamma():
+    for x in (0.01, 0.25, 0.7, 1.0, 3.3, 50.5, 12345.25):
+        assert pitman_yor.log_gamma(np.array([x]))[0] == pytest.approx(math.lgamma(x), rel=1e-10, abs=1e-10)
+
+
+def test_seating_is_the_chinese_restaurant_process():
+    """Against seating one by one: means over many cells, for few and for thousands of customers."""
     rng = np.random.default_rng(0)
-    c = np.array([1, 2, 5, 40, 1000, 100_000])
-    for weight in (1e-9, 0.5, 50.0):
-        t = pitman_yor.seat(c, np.full(len(c), weight), 0.75, rng)
+    for c, weight, cells in ((2, 0.5, 20_000), (7, 2.0, 20_000), (300, 0.3, 4000), (3000, 6.0, 400)):
+        keys = rng.integers(0, 1 << 63, cells).astype(np.uint64)
+        t = pitman_yor.seat(np.full(cells, c), np.full(cells, weight), 0.75, keys, 1)
+        plain = np.ones(cells)
+        for seated in range(1, c):
+            plain += rng.random(cells) < weight / (seated - 0.75 * plain + weight)
         assert (t >= 1).all() and (t <= c).all()
+        assert t.mean() == pytest.approx(plain.mean(), abs=5 * (t.std() + plain.std()) / math.sqrt(cells) + 1e-9)
+        assert t.std() == pytest.approx(plain.std(), rel=0.2)
 
 
 def labelled(spark, n=400):
