@@ -2,7 +2,7 @@
 
 Method. Each document is cut into non-overlapping reference blocks of `size // 2` words; any window of `size`
 words holds a whole block. The blocks are the index; every rolling window of a block's length probes it. Hits
-are extended to the `size`-word windows around them, which are compared by two independent hashes of their words (120 bits
+are extended to the `size`-word windows around them, which are compared by two independent hashes of their words (96 bits
 and the bucket); runs of equal windows are the maximal exact repeats. Of equal windows the first (smallest doc_id, then smallest start) stays;
 the words of all others are removed.
 
@@ -36,12 +36,12 @@ from quadra.llm.text import U, Words, bucket_of, fresh, release, slices
 #: Probes or windows that a map task gathers before it sends them on.
 CHUNK = 500_000
 #: Bytes of text that a group of documents, or the probes in a hash bucket, stand for on average.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 #: Bytes sent of a probe's hash, besides the bucket: equal probes are candidates only, and a bucket's share of the
 #: corpus is the same at every size, so a false candidate stays rare.
 PROBE_BYTES = 4
 #: Bytes sent of a window's two hashes, besides the bucket.
-WINDOW_BYTES = (8, 7)
+WINDOW_BYTES = (6, 6)
 _SENT = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("payload", pa.binary())])
 _FOUND = pa.schema([("__group", pa.int32()), ("payload", pa.binary())])
 
