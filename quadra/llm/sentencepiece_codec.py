@@ -11,7 +11,7 @@ before it is dropped, so memory does not grow with a text.
 
 A space begins a piece or stands in a run of spaces, so text falls apart before each space that follows another character; workers keep
 the ids of the stretches they have met (bounded, two generations), and new ones run through the Viterbi window. Runs of several spaces,
-whose pieces have equal scores, are merged as the library does, by a plain merge loop.
+whose pieces have equal scores, are merged as the library does, leftmost first, in one pass over a stack.
 
 Defined cases: null and empty texts have no ids and decode to empty; a character outside the vocabulary gives its UTF-8 bytes' ids; U+2581
 decodes to a space, as the library's does; rows that repeat a doc_id are encoded each by itself; extra columns are ignored.
@@ -179,6 +179,7 @@ class Viterbi:
 class Codec:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
+        self.runs = {len(p) for p in self.v.ids if set(p) == {SPACE}}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -203,19 +204,18 @@ class Codec:
         yield word if joined else word[1:]
 
     def _merge_run(self, n: int) -> list[str]:
-        """Merges of n spaces: all pairs have one score, so the leftmost goes first, again and again."""
-        lengths = [len(p) for p in self.v.ids if set(p) == {SPACE}]
-        have = set(lengths)
-        parts = [1] * n
-        moved = True
-        while moved:
-            moved = False
-            for i in range(len(parts) - 1):
-                if parts[i] + parts[i + 1] in have:
-                    parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                    moved = True
-                    break
-        return [SPACE * p for p in parts]
+        """Merges of n spaces: all pairs have one score, so the leftmost goes first, again and again.
+
+        `done` holds parts of which no two neighbours merge, so with the next space the only pair that can merge, and then the leftmost
+        one, is the last: each space is pushed once and each merge takes one part away, which is linear in n.
+        """
+        done: list[int] = []
+        for _ in range(n):
+            done.append(1)
+            while len(done) > 1 and done[-2] + done[-1] in self.runs:
+                last = done.pop()
+                done[-1] += last
+        return [SPACE * length for length in done]
 
     def _known(self, key: str) -> bytes:
         found = self.new.get(key)

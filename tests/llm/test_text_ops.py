@@ -38,6 +38,17 @@ def test_streaming_viterbi_is_the_library():
         assert own.decode(ids) == text.replace("▁", " ")
 
 
+def test_runs_of_spaces_are_the_library():
+    import sentencepiece
+
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PIECE), sentencepiece_codec.Codec(PIECE)
+    for n in [*range(1, 80), 127, 1000, 4099]:
+        for text in (" " * n, " " * n + "word", "a" + " " * n + "b" + " " * (n + 1)):
+            assert own.encode(text).tolist() == library.encode(text), n
+    ids = own.encode("x" + " " * 1_000_000 + "y")  # in time that is linear in the run
+    assert own.decode(ids) == "x" + " " * 1_000_000 + "y"
+
+
 def test_viterbi_window_is_bounded():
     own = sentencepiece_codec.Codec(PIECE)
     walk, ids, text = sentencepiece_codec.Viterbi(own.v), [], "thequickbrownfoxjumps" * 2000
