@@ -190,6 +190,34 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_or_have_none(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(7, a, "x"), (7, b, "x"), (9, [2.0, 0.001, 0.0, 0.0], "x"), (3, [0.001, 1.0, 0.0, 0.0], "x"), (None, [1.0, 0.002, 0.0, 0.0], "x"), (None, a, "y"), (None, None, "x"), (5, a, "y")]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in out), key=str)
+    assert got == sorted([(7, 2, 7, True), (7, 1, 3, False), (9, 2, 7, False), (3, 1, 3, True), (None, 2, 7, False), (None, 1, 5, False), (None, 0, None, True), (5, 1, 5, True)], key=str)
+
+
+def test_collision_counts_find_pairs_at_the_threshold():
+    """Pairs of cosine 0.98 exactly, in few and in many dimensions."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for dim in (2, 3, 8, 64, 768):
+        a, b = rng.standard_normal((2, 2000, dim))
+        a /= np.linalg.norm(a, axis=1)[:, None]
+        b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+        b /= np.linalg.norm(b, axis=1)[:, None]
+        b = 0.9800001 * a + np.sqrt(1 - 0.9800001**2) * b
+        d = embedding_dedup.directions(dim)
+        reach, needed = embedding_dedup.calibrate(dim, 0.98, 0.999, embedding_dedup.LISTS)
+        assert needed > 0
+        found = set()
+        for qi, ti in embedding_dedup._pairs(a @ d, a, b @ d, b, 0.98, reach, needed):
+            found |= {q for q, t in zip(qi.tolist(), ti.tolist(), strict=True) if q == t}
+        assert len(found) >= 1990, (dim, len(found))
+
+
 def test_hamming_search(spark):
     rng = random.Random(9)
     rows = [(k, [rng.gauss(0, 1) for _ in range(64)]) for k in range(400)] + [(500, None), (501, []), (502, [None] * 64), (None, [1.0] * 64)]
