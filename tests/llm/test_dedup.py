@@ -230,3 +230,29 @@ def test_hamming_search(spark):
     want = {q: [(k + 1, d, i) for k, (d, i) in enumerate(sorted(((bits[q] ^ c).bit_count(), i) for i, c in bits.items() if i != q)[:10])] for q in bits if q % 50 == 0 or q == 3}
     assert {q: sorted(v) for q, v in got.items()} == want
     assert hamming_search.top_k(codes.limit(0), codes, 3).count() == 0
+
+
+def test_hamming_search_over_many_blocks(spark):
+    """Frequent segment values, cut blocks, ids with several codes, copies, against brute force."""
+    rng = random.Random(12)
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    rows = [(i, rng.getrandbits(64)) for i in range(900)]
+    rows += [(1000 + i, rng.getrandbits(48) << 16 | 0x1234) for i in range(500)]  # a third share one segment
+    rows += [(2000 + i, rows[0][1]) for i in range(60)] + [(3000 + i, rows[0][1] ^ 1 << rng.randrange(64)) for i in range(30)]
+    rows += [(7, rng.getrandbits(64)) for _ in range(30)] + [(8, rows[8][1] ^ 1 << i) for i in range(20)] + [rows[9]] * 15
+    df = spark.createDataFrame([(i, signed(c)) for i, c in rows], "id long, code long")
+    ask = {0, 7, 8, 9, 50, 1000, 1050, 2001, 3001}
+    want = {}
+    for i in ask:
+        own = {c for j, c in rows if j == i}
+        if len(own) == 1:
+            (code,) = own
+            want[i] = [(r + 1, d, j) for r, (d, j) in enumerate(sorted(((code ^ c).bit_count(), j) for j, c in rows if j != i)[:10])]
+    for size in (16384, 100):
+        got: dict = {}
+        for r in hamming_search.top_k(df, df.where(F.col("id").isin(sorted(want))), 10, block_rows=size).collect():
+            got.setdefault(r.vec_id, []).append((r.rank, r.distance, r.neighbor_id))
+        assert {q: sorted(v) for q, v in got.items()} == want
+    one = spark.createDataFrame([(8, signed(rows[8][1]))], "id long, code long")
+    got = sorted((r.rank, r.distance, r.neighbor_id) for r in hamming_search.top_k(df, one, 10).collect())
+    assert got == [(r + 1, d, j) for r, (d, j) in enumerate(sorted(((rows[8][1] ^ c).bit_count(), j) for j, c in rows if j != 8)[:10])]
