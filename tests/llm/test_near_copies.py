@@ -108,3 +108,30 @@ def test_fingerprints_are_within_the_radius():
             x, y = near_copies._bits(found, begins, np.arange(2)).tolist()
             far.append((x ^ y).bit_count())
     assert len(far) > 200 and max(far) <= near_copies.RADIUS
+
+
+def test_pairs_come_through_planes_as_forests(spark):
+    """Many texts that are near, yet mostly not similar: what is sent grows with the texts, not with their pairs; pairs of two are compared alike."""
+    rng, texts = random.Random(3), []
+    common = [f"c{k}" for k in range(146)]
+    for k in range(200):
+        words = list(common)
+        for _ in range(4 if k % 4 else 1):
+            words[rng.randrange(len(words))] = f"x{k}y{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = frame(spark, list(enumerate(texts)))
+    prints = near_copies.sketches(docs)
+    nodes = prints.select("fp", "n", "bits", "keys")
+    sent = near_copies._candidates(nodes, 0.8, 8192).count()
+    assert 0 < sent < near_copies.BANDS * len(texts)
+    want = groups(texts, range(len(texts)))
+    found = {r.node: r.component for r in near_copies.classes(docs, prints).collect()}
+    fp = {r.doc_id: r.fp for r in prints.collect()}
+    same = {}
+    for i in range(len(texts)):
+        assert same.setdefault(want[i], found.get(fp[i], fp[i])) == found.get(fp[i], fp[i])
+    assert 1 < len(set(same.values())) == len(same) < len(texts)
+    far = (1 << near_copies.RADIUS + 1) - 1
+    for bits, pairs in ((far, 0), (far >> 1, 1)):
+        two = spark.createDataFrame([(1, 9, 0, [7]), (2, 9, bits, [7])], "fp long, n long, bits long, keys array<long>")
+        assert near_copies._candidates(two, 0.8, 8192).count() == pairs
