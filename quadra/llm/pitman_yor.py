@@ -1,7 +1,7 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of words.
 
-Model. The restaurant of a context is that of the last two bytes of the word before (1,024 classes and the start of a text). Contexts whose word ends
-in the same byte class share a parent restaurant (33); those share the root, whose base is uniform over the V known words and one unknown.
+Model. The restaurant of a context is that of the word before, whole (its hash), or of the start of a text. Contexts whose words end in the same
+two byte classes share a parent (1,024 and the start of a text), those of one last byte class theirs (33); these share the root, whose base is uniform over the V known words and one unknown.
 Customers of a parent are the tables of its children.
 
 Inference. Blocked Gibbs: a sweep seats, for every word and restaurant, all its customers anew by the Chinese restaurant process,
@@ -10,10 +10,11 @@ customer who opens a table is drawn from the process's survival function, a quot
 the sweep, so a result does not depend on how the work is dealt out. After `burn` sweeps, `samples` sweeps are kept and the probability of a token is the
 mean of their predictive probabilities.
 
-Execution. A word's restaurants are all in one hash bucket, so a sweep is one map over the buckets; only the totals of the 1,059
-restaurants go through the driver. Map tasks count before they send: a chunk sends each distinct (word, context) once, in packed rows. Words above a
-`head`-th of all tokens (at most `head` of them) are scored where the text is, from a table of bounded size; the rest of a
-chunk's tokens go to their words' buckets, and partial sums for each document come back. Each token's logarithm is rounded by itself to a multiple of 2**-32 and
+Execution. A word's cells in all restaurants are in one hash bucket, and a sweep goes over the buckets. The totals of the restaurants of words are summed in
+the buckets of those words: before a sweep each bucket offers its shares and gets back the sums of just the contexts that it has, in the same order. Only the totals of the
+1,059 restaurants above go through the driver. Map tasks count before they send: a chunk sends each distinct (word, context) once, in packed rows. To score, a
+chunk's tokens go to their words' buckets, and partial sums for each document come back; words above a `head`-th of all tokens (at most `head` of them) are
+dealt by word and context to several buckets, with their cells. Each token's logarithm is rounded by itself to a multiple of 2**-32 and
 sums are whole numbers, so that neither order nor partitions change a result.
 
 Defined cases: null text is empty (its end token alone); every row is a document of its own, also rows that share a doc_id or have none
@@ -22,6 +23,7 @@ Defined cases: null text is empty (its end token alone); every row is a document
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,10 +40,12 @@ from quadra.llm.text import U, Words, mix, release, slices
 
 CONTEXTS, PARENTS = 1025, 33
 _PARENT = np.concatenate([[0], 1 + np.arange(1024) // 32])
-#: The end token's hash (fixed value).
-END = U(0x51ED270B9F3B5A17)
+#: The hashes of the end token and of the start as a context (fixed values).
+END, START = U(0x51ED270B9F3B5A17), U(0x2545F4914F6CDD1D)
 #: Tokens that a map task gathers before it sends them on.
 CHUNK = 500_000
+#: Bytes of text that a bucket stands for on average.
+BUCKET_BYTES = 6 << 20
 _FIX = float(1 << 32)
 _ROWS = "bucket int, kind byte, payload binary"
 _ROWS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
@@ -51,6 +55,8 @@ _ROWS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("payload"
 class Settings:
     discounts: tuple[float, float, float] = (0.75, 0.75, 0.8)  # root, parents, contexts
     strengths: tuple[float, float, float] = (10.0, 10.0, 10.0)
+    word_discount: float = 0.8  # of the restaurants of words
+    word_strength: float = 1.0
     burn: int = 1
     samples: int = 3
     head: int = 1000
@@ -59,7 +65,7 @@ class Settings:
 
 @dataclass
 class Totals:
-    """Customers and tables of the restaurants in one sweep."""
+    """Customers and tables of the restaurants in one sweep, but for those of words. context: two byte classes."""
 
     context_customers: np.ndarray
     context_tables: np.ndarray
@@ -82,8 +88,8 @@ class Model:
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 
-def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, context, row) of every token of a batch, in order, each row's end token included."""
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, context class, hash of the word before, row) of every token of a batch, in order, each row's end token included."""
     words = Words(batch.column("text"), lower=True)
     n, rows = len(words), batch.num_rows
     hashes = words.hashes()
@@ -97,14 +103,16 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     context = np.zeros(total, np.int64)
     after = at + 1  # the token after a word, in the same row: its end token at the latest
     context[after] = own
+    before = np.full(total, START, np.uint64)
+    before[after] = hashes
     first = np.concatenate([[0], np.cumsum(words.counts + 1)[:-1]]) if rows else np.empty(0, np.int64)
     context[first] = 0
-    return h, context, row
+    return h, context, before, row
 
 
-def _blobs(h: np.ndarray, columns: list[np.ndarray], extra: list[bytes], kind: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """One packed row for each bucket; entries sorted by (bucket, hash). columns: further integers of each entry."""
-    to = (h % U(buckets)).astype(np.int64)
+def _blobs(h: np.ndarray, columns: list[np.ndarray], extra: list[bytes], kind: int, buckets: int, to: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """One packed row for each bucket; entries sorted by (bucket, hash). columns: further integers of each entry. to: their buckets, if not by hash."""
+    to = (h % U(buckets)).astype(np.int64) if to is None else to
     order = np.lexsort((h, to))
     h, to = h[order], to[order]
     columns = [c[order] for c in columns]
@@ -134,76 +142,122 @@ def _batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]
 # --- counting -------------------------------------------------------------------------------------------------------
 
 
-def _pairs(h: np.ndarray, context: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word, context) with their counts, sorted."""
+def _pairs(h: np.ndarray, context: np.ndarray, before: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (word, word before) with the class of the latter and their counts, sorted."""
     words, place = np.unique(h, return_inverse=True)
-    key, back = np.unique(place * CONTEXTS + context, return_inverse=True)
+    contexts, at = np.unique(before, return_inverse=True)
+    key, first, back = np.unique(place * len(contexts) + at, return_index=True, return_inverse=True)
     count = np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
-    return words[key // CONTEXTS], key % CONTEXTS, count
+    return words[key // len(contexts)], context[first], contexts[key % len(contexts)], count
 
 
 def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     def rows():
         held, size = [], 0
         for batch in slices(batches):
-            h, context, _ = _tokens(batch)
-            held.append((h, context))
+            h, context, before, _ = _tokens(batch)
+            held.append((h, context, before))
             size += len(h)
             if size >= CHUNK:
-                w, c, n = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                w, c, u, n = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held, size = [], 0
-                yield from _blobs(w, [c, n], [], 0, buckets)
+                yield from _blobs(w, [c, n, u], [], 0, buckets)
         if held:
-            w, c, n = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield from _blobs(w, [c, n], [], 0, buckets)
+            w, c, u, n = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from _blobs(w, [c, n, u], [], 0, buckets)
 
     yield from _batches(rows())
 
 
+def _sums(at: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, weights=weights, minlength=size).astype(np.int64)
+
+
 class State:
     """A bucket's words: their customers and tables in each restaurant.
 
-    words: sorted hashes. key: word * CONTEXTS + context of each pair, sorted; c its customers; t its tables. pkey: the same for parents.
-    kept: (t, parent tables, root tables) of each kept sweep.
+    words: sorted hashes; count: their tokens. key: word * CONTEXTS + class of each cell of a class, sorted. contexts: sorted hashes of words before; kind: their classes.
+    Cells of words before are sorted by (word, before), both as places; n: their customers.
+    now, kept: (tables of those cells; customers, tables of the cells of classes; tables of the parents' cells; tables in the root), of now and of each kept sweep.
     """
 
-    def __init__(self, words, key, c, t=None, pt=None, rt=None, kept=()):
-        self.words, self.key, self.c = words, key, c
+    def __init__(self, words, count, key, contexts, kind, at, before, n, now, kept=()):
+        self.words, self.count, self.key, self.contexts, self.kind, self.at, self.before, self.n = words, count, key, contexts, kind, at, before, n
         self.word = key // CONTEXTS
         above = self.word * PARENTS + _PARENT[key % CONTEXTS]
         self.pkey, self.up = np.unique(above, return_inverse=True)
         self.pword = self.pkey // PARENTS
-        self.t = np.ones(len(key), np.int64) if t is None else t
-        self.pt = np.ones(len(self.pkey), np.int64) if pt is None else pt
-        self.rt = np.ones(len(words), np.int64) if rt is None else rt
-        self.kept = list(kept)
+        self.now, self.kept = now, list(kept)
+
+    @staticmethod
+    def first(words, contexts, kind, at, before, n) -> State:
+        """Each cell with one table."""
+        key, up = np.unique(at * CONTEXTS + kind[before], return_inverse=True)
+        x = State(words, _sums(at, n, len(words)), key, contexts, kind, at, before, n, None)
+        ones = lambda size: np.ones(size, np.int64)
+        x.now = (ones(len(n)), _sums(up, None, len(key)), ones(len(key)), ones(len(x.pkey)), ones(len(words)))
+        return x
+
+    @property
+    def cell(self) -> np.ndarray:
+        """The cell of a class that each cell of a word before belongs to."""
+        return np.searchsorted(self.key, self.at * CONTEXTS + self.kind[self.before])
 
     def pack(self) -> bytes:
-        parts = [packed.planes(np.diff(self.words, prepend=U(0))), packed.planes(np.diff(self.key, prepend=0)), packed.planes(self.c)]
-        for t, pt, rt in [(self.t, self.pt, self.rt), *self.kept]:
-            parts += [packed.planes(t), packed.planes(pt), packed.planes(rt)]
-        return packed.join(parts)
+        ascending = lambda x: packed.planes(np.diff(x, prepend=x.dtype.type(0)))
+        parts = [ascending(self.words), packed.planes(self.count), ascending(self.key), ascending(self.contexts), packed.planes(self.kind), ascending(self.at), packed.planes(self.before), packed.planes(self.n)]
+        return packed.join(parts + [packed.planes(x) for tables in (self.now, *self.kept) for x in tables])
 
     @staticmethod
     def unpack(b: bytes) -> State:
         parts = [packed.unplanes(p) for p in packed.split(b)]
-        words, rest = np.cumsum(parts[0]), [p.astype(np.int64) for p in parts[1:]]
-        tables = [tuple(rest[i : i + 3]) for i in range(2, len(rest), 3)]
-        return State(words, np.cumsum(rest[0]), rest[1], *tables[0], kept=tables[1:])
+        whole = [p.view(np.int64) for p in parts]
+        tables = [tuple(whole[i : i + 5]) for i in range(8, len(whole), 5)]
+        return State(np.cumsum(parts[0]), whole[1], np.cumsum(whole[2]), np.cumsum(parts[3]), whole[4], np.cumsum(whole[5]), whole[6], whole[7], tables[0], tables[1:])
+
+    def take(self, words: np.ndarray, cells: np.ndarray) -> State:
+        """Some words (a mask), with some of their cells of words before (a mask), as kept."""
+        rank, cells = np.cumsum(words) - 1, cells & words[self.at]
+        used, before = np.unique(self.before[cells], return_inverse=True)
+        own, above = words[self.word], words[self.pword]
+        key = rank[self.word[own]] * CONTEXTS + self.key[own] % CONTEXTS
+        kept = [(a[cells], c[own], t[own], pt[above], rt[words]) for a, c, t, pt, rt in self.kept]
+        return State(self.words[words], self.count[words], key, self.contexts[used], self.kind[used], rank[self.at[cells]], before, self.n[cells], kept[-1], kept)
+
+    @staticmethod
+    def merged(some: list[State]) -> State | None:
+        """States without common words, as one."""
+        if len(some) < 2:
+            return some[0] if some else None
+        words = np.concatenate([x.words for x in some])
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ranks = np.split(rank, np.cumsum([len(x.words) for x in some])[:-1])
+        contexts, first = np.unique(np.concatenate([x.contexts for x in some]), return_index=True)
+        kind = np.concatenate([x.kind for x in some])[first]
+        key = np.concatenate([r[x.word] * CONTEXTS + x.key % CONTEXTS for r, x in zip(ranks, some, strict=True)])
+        pkey = np.concatenate([r[x.pword] * PARENTS + x.pkey % PARENTS for r, x in zip(ranks, some, strict=True)])
+        at = np.concatenate([r[x.at] for r, x in zip(ranks, some, strict=True)])
+        before = np.concatenate([np.searchsorted(contexts, x.contexts)[x.before] for x in some])
+        cells, own, above = np.lexsort((before, at)), np.argsort(key), np.argsort(pkey)
+        orders = (cells, own, own, above, order)
+        kept = [tuple(np.concatenate(c)[o] for c, o in zip(zip(*tables, strict=True), orders, strict=True)) for tables in zip(*(x.kept for x in some), strict=True)]
+        count, n = (np.concatenate([getattr(x, k) for x in some]) for k in ("count", "n"))
+        return State(words[order], count[order], key[own], contexts, kind, at[cells], before[cells], n[cells], kept[-1], kept)
 
     def below(self, t: np.ndarray) -> np.ndarray:
         """Customers of the parents: tables of their contexts."""
-        return np.bincount(self.up, weights=t, minlength=len(self.pkey)).astype(np.int64)
+        return _sums(self.up, t, len(self.pkey))
 
     def root(self, pt: np.ndarray) -> np.ndarray:
-        return np.bincount(self.pword, weights=pt, minlength=len(self.words)).astype(np.int64)
+        return _sums(self.pword, pt, len(self.words))
 
     def stats(self) -> np.ndarray:
-        """words, then customers and tables: of contexts, of parents, of the root."""
+        """words and tokens, then customers and tables: of classes, of parents, of the root."""
         context, parent = self.key % CONTEXTS, self.pkey % PARENTS
-        sums = lambda at, w, n: np.bincount(at, weights=w, minlength=n).astype(np.int64)
-        pc = self.below(self.t)
-        return np.concatenate([[len(self.words)], sums(context, self.c, CONTEXTS), sums(context, self.t, CONTEXTS), sums(parent, pc, PARENTS), sums(parent, self.pt, PARENTS), [self.pt.sum(), self.rt.sum()]]).astype(np.int64)
+        _, c, t, pt, rt = self.now
+        return np.concatenate([[len(self.words), self.n.sum()], _sums(context, c, CONTEXTS), _sums(context, t, CONTEXTS), _sums(parent, self.below(t), PARENTS), _sums(parent, pt, PARENTS), [pt.sum(), rt.sum()]]).astype(np.int64)
 
 
 _STATE = "bucket int, state binary, stats array<long>"
@@ -214,15 +268,73 @@ def _state_table(bucket: int, state: State) -> pa.Table:
 
 
 def _gather(key, table: pa.Table) -> pa.Table:
-    ws, cs, ns = [], [], []
+    ws, cs, ns, us = [], [], [], []
     for payload in table.column("payload").to_pylist():
         words, sizes, parts = _unblob(payload)
         ws.append(np.repeat(words, sizes))
         cs.append(packed.unplanes(parts[0]).astype(np.int64))
         ns.append(packed.unplanes(parts[1]).astype(np.int64))
-    w, context, n = _pairs(np.concatenate(ws), np.concatenate(cs), np.concatenate(ns))
-    words, place = np.unique(w, return_inverse=True)
-    return _state_table(key[0].as_py(), State(words, place * CONTEXTS + context, n))
+        us.append(packed.unplanes(parts[2]))
+    w, context, u, n = _pairs(*(np.concatenate(x) for x in (ws, cs, us, ns)))
+    words, at = np.unique(w, return_inverse=True)
+    contexts, first, before = np.unique(u, return_index=True, return_inverse=True)
+    out = _state_table(key[0].as_py(), State.first(words, contexts, context[first], at, before, n))
+    release()
+    return out
+
+
+# --- totals of the restaurants of words -------------------------------------------------------------------------------
+
+
+def _dealt(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket, buckets in that order) of sorted contexts."""
+    to = (contexts % U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    return order, to[order]
+
+
+def _offer(bucket: int, contexts: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """A bucket's shares of the totals of some contexts, a row for each of the contexts' buckets."""
+    order, to = _dealt(contexts, buckets)
+    for a, b in packed.runs(to):
+        own = order[a:b]
+        yield int(to[a]), 3, packed.join([packed.planes(np.array([bucket])), packed.planes(np.diff(contexts[own], prepend=U(0))), *(packed.planes(c[own]) for c in columns)])
+
+
+def _offers(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("state").to_pylist(), strict=True):
+                x = State.unpack(blob)
+                yield from _offer(bucket, x.contexts, [_sums(x.before, w, len(x.contexts)) for w in (x.n, x.now[0])], buckets)
+
+    yield from _batches(rows())
+
+
+def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROWS_ARROW)], schema=_ROWS_ARROW)
+
+
+def _total(key, table: pa.Table) -> pa.Table:
+    """The sums of the offers to one bucket, to each bucket that made one, of its contexts in its order."""
+    offers = [packed.split(p) for p in table.column("payload").to_pylist()]
+    hashes = [np.cumsum(packed.unplanes(o[1])) for o in offers]
+    contexts, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    sums = [_sums(at, np.concatenate([packed.unplanes(o[k]) for o in offers]), len(contexts))[at] for k in range(2, len(offers[0]))]
+    ends = np.cumsum([len(h) for h in hashes]).tolist()
+    return _table([(int(packed.unplanes(o[0])[0]), 3, packed.join([packed.planes(np.array([key[0].as_py()])), *(packed.planes(c[b - len(h) : b]) for c in sums)])) for o, h, b in zip(offers, hashes, ends, strict=True)])
+
+
+def _received(contexts: np.ndarray, payloads: list[bytes], columns: int, buckets: int) -> list[np.ndarray]:
+    """What came back for all contexts that were offered."""
+    order, to = _dealt(contexts, buckets)
+    out = np.zeros((columns, len(contexts)), np.int64)
+    for payload in payloads:
+        parts = packed.split(payload)
+        a, b = np.searchsorted(to, [int(x) + int(packed.unplanes(parts[0])[0]) for x in (0, 1)])
+        for column, part in zip(out, parts[1:], strict=True):
+            column[order[a:b]] = packed.unplanes(part)
+    return list(out)
 
 
 def _summed_stats(key, table: pa.Table) -> pa.Table:
@@ -231,14 +343,14 @@ def _summed_stats(key, table: pa.Table) -> pa.Table:
     return pa.table([pa.array([total], pa.list_(pa.int64()))], names=["stats"])
 
 
-def _totals(state: DataFrame, buckets: int) -> tuple[int, Totals]:
+def _totals(state: DataFrame, buckets: int) -> tuple[int, int, Totals]:
     """Sums over the buckets, first in about sqrt(buckets) groups, then on the driver (17 KB from each group)."""
     groups = math.isqrt(max(1, buckets))
     rows = state.select((F.col("bucket") % groups).alias("g"), "stats").groupBy("g").applyInArrow(lambda key, table: _summed_stats(key, table), "stats array<long>").collect()
-    size = 1 + 2 * CONTEXTS + 2 * PARENTS + 2
+    size = 2 + 2 * CONTEXTS + 2 * PARENTS + 2
     total = np.sum([np.array(r["stats"], float) for r in rows], axis=0) if rows else np.zeros(size)
-    cut = np.split(total, np.cumsum([1, CONTEXTS, CONTEXTS, PARENTS, PARENTS, 1]))
-    return int(cut[0][0]), Totals(cut[1], cut[2], cut[3], cut[4], float(cut[5][0]), float(cut[6][0]))
+    cut = np.split(total, np.cumsum([2, CONTEXTS, CONTEXTS, PARENTS, PARENTS, 1]))
+    return int(cut[0][0]), int(cut[0][1]), Totals(cut[1], cut[2], cut[3], cut[4], float(cut[5][0]), float(cut[6][0]))
 
 
 # --- predictive probabilities and seating -----------------------------------------------------------------------------
@@ -344,23 +456,35 @@ def _alone(t: int, n: int, total: int, w: float, discount: float, rng: np.random
     return t
 
 
-def _sweep(batches: Iterator[pa.RecordBatch], totals: Totals, words: int, s: Settings, sweep: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("state").to_pylist(), strict=True):
-            x = State.unpack(blob)
-            salt = s.seed + 1000 * sweep
-            keys = [x.words, mix(x.words[x.pword] + (x.pkey % PARENTS + 1).astype(U)), mix(x.words[x.word] + (x.key % CONTEXTS + 1 + PARENTS).astype(U))]
-            root = _root(x.root(x.pt), x.rt, totals, words, s)
-            parent, context = x.pkey % PARENTS, x.key % CONTEXTS
-            p = _step(x.below(x.t), x.pt, totals.parent_customers[parent], totals.parent_tables[parent], root[x.pword], 1, s)
-            d, a = s.discounts, s.strengths
-            x.t = seat(x.c, (a[2] + d[2] * totals.context_tables[context]) * p[x.up], d[2], keys[2], salt)
-            x.pt = seat(x.below(x.t), (a[1] + d[1] * totals.parent_tables[parent]) * root[x.pword], d[1], keys[1], salt)
-            base = np.full(len(x.words), (a[0] + d[0] * totals.root_tables) / (words + 1))
-            x.rt = seat(x.root(x.pt), base, d[0], keys[0], salt)
-            if sweep >= s.burn:
-                x.kept.append((x.t, x.pt, x.rt))
-            yield from _state_table(bucket, x).to_batches()
+def _sweep(key, stated: pa.Table, received: pa.Table, totals: Totals, words: int, s: Settings, sweep: int, buckets: int) -> pa.Table:
+    x = State.unpack(stated.column("state")[0].as_py())
+    customers, tables = _received(x.contexts, received.column("payload").to_pylist(), 2, buckets)
+    salt = s.seed + 1000 * sweep
+    parent, context, cell = x.pkey % PARENTS, x.key % CONTEXTS, x.cell
+    keys = [x.words, mix(x.words[x.pword] + (parent + 1).astype(U)), mix(x.words[x.word] + (context + 1 + PARENTS).astype(U)), mix(mix(x.words[x.at]) + x.contexts[x.before])]
+    _, c, t, pt, rt = x.now
+    root = _root(x.root(pt), rt, totals, words, s)
+    p = _step(x.below(t), pt, totals.parent_customers[parent], totals.parent_tables[parent], root[x.pword], 1, s)
+    d, a = s.discounts, s.strengths
+    close = _step(c, t, totals.context_customers[context], totals.context_tables[context], p[x.up], 2, s)
+    own = seat(x.n, (s.word_strength + s.word_discount * tables[x.before]) * close[cell], s.word_discount, keys[3], salt)
+    c = _sums(cell, own, len(x.key))
+    t = seat(c, (a[2] + d[2] * totals.context_tables[context]) * p[x.up], d[2], keys[2], salt)
+    pt = seat(x.below(t), (a[1] + d[1] * totals.parent_tables[parent]) * root[x.pword], d[1], keys[1], salt)
+    base = np.full(len(x.words), (a[0] + d[0] * totals.root_tables) / (words + 1))
+    rt = seat(x.root(pt), base, d[0], keys[0], salt)
+    x.now = (own, c, t, pt, rt)
+    if sweep >= s.burn:
+        x.kept.append(x.now)
+    out = _state_table(key[0].as_py(), x)
+    release()
+    return out
+
+
+def _forget(state: DataFrame) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of keeping those of all sweeps."""
+    gc.collect()
+    state.sparkSession._jvm.System.gc()
 
 
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
@@ -368,16 +492,23 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     s = settings or Settings()
     spark = docs.sparkSession
     runtime.ship(spark)
-    buckets = runtime.shuffle_partitions(spark)
+    measured = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(runtime.shuffle_partitions(spark), -(-measured // BUCKET_BYTES))
     rows = docs.select("text").mapInArrow(partial(_count, buckets=buckets), _ROWS)
     state = runtime.save(rows.groupBy("bucket").applyInArrow(lambda key, table: _gather(key, table), _STATE), "lm-state")
-    words, totals = _totals(state, buckets)
-    model = Model(s, words, int(totals.context_customers.sum()), buckets=buckets)
+    del rows
+    words, tokens, totals = _totals(state, buckets)
+    model = Model(s, words, tokens, buckets=buckets)
     for sweep in range(s.burn + s.samples):
-        after = runtime.save(state.mapInArrow(partial(_sweep, totals=totals, words=words, s=s, sweep=sweep), _STATE), "lm-state")
+        sums = state.select("bucket", "state").mapInArrow(partial(_offers, buckets=buckets), _ROWS).groupBy("bucket").applyInArrow(lambda key, table: _total(key, table), _ROWS)
+        turn = partial(_sweep, totals=totals, words=words, s=s, sweep=sweep, buckets=buckets)
+        seated = state.select("bucket", "state").groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(lambda key, left, right: turn(key, left, right), _STATE)
+        after = runtime.save(seated, "lm-state")
         runtime.drop(state)
         state = after
-        _, totals = _totals(state, buckets)
+        del sums, seated
+        _forget(state)
+        _, _, totals = _totals(state, buckets)
         if sweep >= s.burn:
             model.samples.append(totals)
     model.state = state
@@ -387,45 +518,75 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
 # --- scoring ----------------------------------------------------------------------------------------------------------
 
 
-def probabilities(x: State | None, word: np.ndarray, context: np.ndarray, samples: list[Totals], words: int, s: Settings) -> np.ndarray:
-    """Mean predictive probability of each (word, context); word: a place in x.words, or -1 if unknown."""
+def probabilities(x: State | None, word: np.ndarray, context: np.ndarray, samples: list[Totals], words: int, s: Settings, before: tuple | None = None) -> np.ndarray:
+    """Mean predictive probability of each (word, class of the context); word: a place in x.words, or -1 if unknown. With before, that after a
+    whole word: (places in x.contexts or -1, customers there, tables there in each sample)."""
     out = np.zeros(len(word))
     known = word >= 0
     parent = _PARENT[context]
 
-    def find(keys, want):
+    def find(keys, want, able):
         if not len(keys):
             return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return at, known & (keys[at] == want)
+        return at, able & (keys[at] == want)
 
     if x is not None:
-        at, has = find(x.key, word * CONTEXTS + context)
-        pat, phas = find(x.pkey, word * PARENTS + parent)
+        if not hasattr(x, "levels"):
+            x.levels = [(own, c, t, x.below(t), pt, x.root(pt), rt) for own, c, t, pt, rt in x.kept]
+            x.cells = x.at * max(1, len(x.contexts)) + x.before
+        at, has = find(x.key, word * CONTEXTS + context, known)
+        pat, phas = find(x.pkey, word * PARENTS + parent, known)
+        if before is not None:
+            cell, own_has = find(x.cells, word * max(1, len(x.contexts)) + before[0], known & (before[0] >= 0))
     for k, totals in enumerate(samples):
-        c = t = pc = pt = rc = rt = 0.0
+        c = t = pc = pt = rc = rt = own_c = own_t = 0.0
         if x is not None and len(x.words):
-            kt, kpt, krt = x.kept[k]
-            below, root = x.below(kt), x.root(kpt)
+            own, kc, kt, below, kpt, root, krt = x.levels[k]
             safe = np.where(known, word, 0)
-            c, t = np.where(has, x.c[at], 0), np.where(has, kt[at], 0)
+            c, t = np.where(has, kc[at], 0), np.where(has, kt[at], 0)
             pc, pt = np.where(phas, below[pat], 0), np.where(phas, kpt[pat], 0)
             rc, rt = np.where(known, root[safe], 0), np.where(known, krt[safe], 0)
+            if before is not None and len(x.n):
+                own_c, own_t = np.where(own_has, x.n[cell], 0), np.where(own_has, own[cell], 0)
         p = _root(rc, rt, totals, words, s)
         p = _step(pc, pt, totals.parent_customers[parent], totals.parent_tables[parent], p, 1, s)
-        out += _step(c, t, totals.context_customers[context], totals.context_tables[context], p, 2, s)
+        p = _step(c, t, totals.context_customers[context], totals.context_tables[context], p, 2, s)
+        if before is not None:
+            p = (own_c - s.word_discount * own_t + (s.word_strength + s.word_discount * before[2][k]) * p) / (s.word_strength + before[1])
+        out += p
     return out / max(1, len(samples))
 
 
-def _head(batches: Iterator[pa.RecordBatch], model: tuple, least: float) -> Iterator[pa.RecordBatch]:
-    samples, words, s = model
+def _frequent(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column("state").to_pylist():
             x = State.unpack(blob)
-            c = np.bincount(x.word, weights=x.c, minlength=len(x.words)).astype(np.int64)
-            for w in np.flatnonzero(c >= least).tolist():
-                p = probabilities(x, np.full(CONTEXTS, w), np.arange(CONTEXTS), samples, words, s)
-                yield pa.record_batch([pa.array([x.words[w : w + 1].view(np.int64)[0]]), pa.array([c[w]]), pa.array([np.log10(p)], pa.list_(pa.float64()))], names=["word", "c", "logs"])
+            top = x.count >= least
+            yield pa.record_batch([pa.array(x.words[top].view(np.int64)), pa.array(x.count[top])], names=["word", "c"])
+
+
+def _part(before: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return (mix(before + U(0x632BE59BD9B4E019)) % parts.astype(U)).astype(np.int64)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], split: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The states (kind 4), without the words that are dealt by context, and pieces of those."""
+    words, parts = split
+
+    def rows():
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("state").to_pylist(), strict=True):
+                x = State.unpack(blob)
+                dealt = np.isin(x.words, words)
+                yield bucket, 4, x.take(~dealt, np.ones(len(x.n), bool)).pack()
+                for w in np.flatnonzero(dealt).tolist():
+                    n = int(parts[np.searchsorted(words, x.words[w])])
+                    part = _part(x.contexts, np.full(len(x.contexts), n))[x.before]
+                    for k in range(n):
+                        yield (bucket + k) % buckets, 4, x.take(np.arange(len(x.words)) == w, part == k).pack()
+
+    yield from _batches(rows())
 
 
 def _fixed(x: np.ndarray) -> np.ndarray:
@@ -443,54 +604,76 @@ def _partial(ids: np.ndarray, n: np.ndarray, known: np.ndarray, base: np.ndarray
     return packed.join([packed.deltas(ids[order]), *(packed.planes(packed.zigzag(c[order])) for c in (n, known, base, score))])
 
 
-def _ask(batches: Iterator[pa.RecordBatch], head: tuple, buckets: int, denominator: float) -> Iterator[pa.RecordBatch]:
-    """Partial sums of each document's head tokens (kind 1), and its other tokens for their words' buckets (kind 0)."""
-    words, counts, logs = head
+def _ask(batches: Iterator[pa.RecordBatch], split: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each document's number of tokens (kind 1), and its tokens for their words' buckets (kind 0)."""
+    words, parts = split
 
     def flush(held, turn):
-        h, context, row, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, context, before, row, ids = (np.concatenate(x) for x in zip(*held, strict=True))
         doc, row = np.unique(ids[row], return_inverse=True)
-        known = np.zeros(len(h), bool)
+        none = np.zeros(len(doc), np.int64)
+        yield turn % buckets, 1, _partial(doc, np.bincount(row, minlength=len(doc)), none, none, none)
+        order = np.lexsort((row, before, h))
+        h, context, before, row = h[order], context[order], before[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (before[1:] != before[:-1]) | (row[1:] != row[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(first, append=len(h))
+        h, context, before, row = h[first], context[first], before[first], row[first]
+        to = (h % U(buckets)).astype(np.int64)
         if len(words):
             at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            known = words[at] == h
-        mine, where = np.flatnonzero(known), row[known]
-        base = _fixed(np.log10((counts[at[mine]] + 1) / denominator)) if len(mine) else np.empty(0, np.int64)
-        score = _fixed(logs[at[mine], context[mine]]) if len(mine) else np.empty(0, np.int64)
-        yield turn % buckets, 1, _partial(doc, np.bincount(row, minlength=len(doc)), np.bincount(where, minlength=len(doc)), _whole_sums(where, base, len(doc)), _whole_sums(where, score, len(doc)))
-        rest = ~known
-        h, context, row = h[rest], context[rest], row[rest]
-        if len(h):
-            order = np.lexsort((row, context, h))
-            h, context, row = h[order], context[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (row[1:] != row[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(first, append=len(h))
-            for bucket, kind, payload in _blobs(h[first], [context[first], row[first], n], [packed.deltas(doc)], 0, buckets):
-                yield bucket, kind, payload
+            dealt = words[at] == h
+            to[dealt] = (to[dealt] + _part(before[dealt], parts[at[dealt]])) % buckets
+        yield from _blobs(h, [context, row, n, before], [packed.deltas(doc)], 0, buckets, to)
 
     def rows():
-        held, size, turn, before = [], 0, 0, 0
+        held, size, turn, seen = [], 0, 0, 0
         for batch in slices(batches):
-            h, context, row = _tokens(batch)
-            held.append((h, context, row + before, batch.column("doc_id").to_numpy(zero_copy_only=False)))
-            before += batch.num_rows
+            h, context, before, row = _tokens(batch)
+            held.append((h, context, before, row + seen, batch.column("doc_id").to_numpy(zero_copy_only=False)))
+            seen += batch.num_rows
             size += len(h)
             if size >= CHUNK:
                 yield from flush(held, turn)
-                held, size, turn, before = [], 0, turn + 1, 0
+                held, size, turn, seen = [], 0, turn + 1, 0
         if held:
             yield from flush(held, turn)
 
     yield from _batches(rows())
 
 
-def _answer(key, asked: pa.Table, stated: pa.Table, model: tuple, denominator: float, parts: int) -> pa.Table:
+def _needed(asked: pa.Table, x: State | None) -> np.ndarray:
+    """The contexts of a bucket's cells and of the tokens that ask there."""
+    found = [np.unique(packed.unplanes(packed.split(p)[5])) for kind, p in zip(asked.column("kind").to_pylist(), asked.column("payload").to_pylist(), strict=True) if kind == 0]
+    return np.unique(np.concatenate([*found, x.contexts if x is not None else np.empty(0, U)])) if found or x is not None else np.empty(0, U)
+
+
+def _stated(table: pa.Table) -> tuple[State | None, list[bytes]]:
+    """(the state, the other payloads) of a bucket."""
+    rows = list(zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True))
+    return State.merged([State.unpack(p) for kind, p in rows if kind == 4]), [p for kind, p in rows if kind != 4]
+
+
+def _want(key, asked: pa.Table, pieces: pa.Table, samples: int, buckets: int) -> pa.Table:
+    x, _ = _stated(pieces)
+    contexts = _needed(asked, x)
+    columns = [np.zeros(len(contexts), np.int64) for _ in range(samples + 1)]
+    if x is not None:
+        at = np.searchsorted(contexts, x.contexts)
+        for column, weights in zip(columns, (x.n, *(own for own, *_ in x.kept)), strict=True):
+            column[at] = _sums(x.before, weights, len(x.contexts))
+    out = _table(list(_offer(key[0].as_py(), contexts, columns, buckets)))
+    release()
+    return out
+
+
+def _answer(key, asked: pa.Table, pieces: pa.Table, model: tuple, denominator: float, parts: int, buckets: int) -> pa.Table:
     """Partial sums of the documents that asked, for their own buckets."""
     samples, words, s = model
-    x = State.unpack(stated.column("state")[0].as_py()) if stated.num_rows else None
-    count = np.bincount(x.word, weights=x.c, minlength=len(x.words)) if x is not None else np.empty(0)
+    x, received = _stated(pieces)
+    contexts = _needed(asked, x)
+    customers, *tables = _received(contexts, received, len(samples) + 1, buckets)
     got = []
     for kind, payload in zip(asked.column("kind").to_pylist(), asked.column("payload").to_pylist(), strict=True):
         if kind == 1:
@@ -498,15 +681,19 @@ def _answer(key, asked: pa.Table, stated: pa.Table, model: tuple, denominator: f
             got.append((packed.undeltas(cut[0]), *(packed.unzigzag(packed.unplanes(b)) for b in cut[1:])))
             continue
         h, sizes, rest = _unblob(payload)
-        place = np.full(len(h), -1)
+        context, row, n = (packed.unplanes(b).astype(np.int64) for b in rest[:3])
+        before, doc = packed.unplanes(rest[3]), packed.undeltas(rest[4])
+        place, own, c = np.full(len(h), -1), np.full(len(before), -1), np.zeros(len(h), np.int64)
         if x is not None and len(x.words):
             at = np.minimum(np.searchsorted(x.words, h), len(x.words) - 1)
             place = np.where(x.words[at] == h, at, -1)
-        word = np.repeat(place, sizes)
-        context, row, n = (packed.unplanes(b).astype(np.int64) for b in rest[:3])
-        doc = packed.undeltas(rest[3])
-        p = probabilities(x, word, context, samples, words, s)
-        c = np.where(word >= 0, count[word] if len(count) else 0, 0)
+            c = np.where(place >= 0, x.count[at], 0)
+            if len(x.contexts):
+                at = np.minimum(np.searchsorted(x.contexts, before), len(x.contexts) - 1)
+                own = np.where(x.contexts[at] == before, at, -1)
+        word, c = np.repeat(place, sizes), np.repeat(c, sizes)
+        at = np.searchsorted(contexts, before)
+        p = probabilities(x, word, context, samples, words, s, (own, customers[at], [t[at] for t in tables]))
         sums = partial(_whole_sums, row, n=len(doc))
         got.append((doc, np.zeros(len(doc), np.int64), sums(w=n * (word >= 0)), sums(w=n * _fixed(np.log10((c + 1) / denominator))), sums(w=n * _fixed(np.log10(p)))))
     ids, *columns = (np.concatenate(c) for c in zip(*got, strict=True)) if got else [np.empty(0, np.int64)] * 5
@@ -515,8 +702,7 @@ def _answer(key, asked: pa.Table, stated: pa.Table, model: tuple, denominator: f
     order = np.argsort(to, kind="stable")
     doc, to, columns = doc[order], to[order], [c[order] for c in columns]
     release()
-    out = [(int(to[a]), 2, _partial(doc[a:b], *(c[a:b] for c in columns))) for a, b in packed.runs(to)]
-    return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_ROWS_ARROW)], schema=_ROWS_ARROW)
+    return _table([(int(to[a]), 2, _partial(doc[a:b], *(c[a:b] for c in columns))) for a, b in packed.runs(to)])
 
 
 def _summed(ids: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -540,20 +726,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     runtime.ship(spark)
     s, denominator = model.settings, float(model.tokens + model.words + 1)
-    small = (model.samples, model.words, s)
-    least = max(1.0, model.tokens / s.head)
-    top = model.state.mapInArrow(partial(_head, model=small, least=least), "word long, c long, logs array<double>").collect()  # s.head rows at most
-    words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    small, buckets = (model.samples, model.words, s), model.buckets
+    top = model.state.select("state").mapInArrow(partial(_frequent, least=max(1.0, model.tokens / s.head)), "word long, c long").collect()  # s.head rows at most
+    words, count = np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64)
     order = np.argsort(words)
-    logs = np.array([r["logs"] for r in top]).reshape(-1, CONTEXTS)[order]
-    head = (words[order], np.array([r["c"] for r in top], np.int64)[order], logs)
+    # a piece stands for a quarter of a bucket's tokens
+    split = (words[order], np.clip(-(-4 * count[order] * buckets // max(1, model.tokens)), 1, buckets))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     repeats = plain.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count() > 0
     key = F.xxhash64("doc_id", "text") if repeats else F.col("doc_id")
     named = plain.select(key.alias("doc_id"), "text")
-    asked = named.mapInArrow(partial(_ask, head=head, buckets=model.buckets, denominator=denominator), _ROWS)
-    answer = partial(_answer, model=small, denominator=denominator, parts=model.buckets)
-    answers = asked.groupBy("bucket").cogroup(model.state.select("bucket", "state").groupBy("bucket")).applyInArrow(lambda key, left, right: answer(key, left, right), _ROWS)
+    asked = named.mapInArrow(partial(_ask, split=split, buckets=buckets), _ROWS).repartition(runtime.shuffle_partitions(spark), "bucket")  # read twice
+    pieces = model.state.select("bucket", "state").mapInArrow(partial(_pieces, split=split, buckets=buckets), _ROWS)
+    want = partial(_want, samples=len(model.samples), buckets=buckets)
+    answer = partial(_answer, model=small, denominator=denominator, parts=buckets, buckets=buckets)
+    sums = asked.groupBy("bucket").cogroup(pieces.groupBy("bucket")).applyInArrow(lambda key, left, right: want(key, left, right), _ROWS).groupBy("bucket").applyInArrow(lambda key, table: _total(key, table), _ROWS)
+    answers = asked.groupBy("bucket").cogroup(pieces.unionAll(sums).groupBy("bucket")).applyInArrow(lambda key, left, right: answer(key, left, right), _ROWS)
     finish = partial(_finish, tokens=model.tokens)
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = answers.groupBy("bucket").applyInArrow(lambda key, table: finish(key, table), schema)

@@ -275,3 +275,34 @@ def test_toxicity_without_labels(spark):
     for some in (labels.limit(0), labels.where("toxic = 0")):
         assert all(r.score < 0.5 for r in toxicity.digest(docs, toxicity.fit(docs, some)).collect())
     assert toxicity.digest(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
+
+
+def test_context_is_the_whole_word_before(spark):
+    """Two words that end alike are different contexts, for texts learnt from and for those held out."""
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:4]
+    other = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 != 2][:40]
+    learnt = [(k, "aathe cat" if i % 2 else "bbthe dog") for i, k in enumerate(other)]
+    asked = list(zip(held, ("aathe cat", "aathe dog", "bbthe dog", "bbthe cat"), strict=True))
+    out = {r.doc_id: r.score for r in pitman_yor.digest(frame(spark, learnt + asked)).collect()}
+    seen, unseen, seen_too, unseen_too = (out[k] for k in held)
+    assert seen > unseen + 0.5 and seen_too > unseen_too + 0.5
+    assert out[other[1]] == seen and out[other[0]] == seen_too
+
+
+def test_probabilities_after_a_word_sum_to_one(spark, data):
+    """Over all words and the unknown, after frequent words, the start and a word that was never seen."""
+    model = pitman_yor.fit(documents(spark, data, 40))
+    states = [pitman_yor.State.unpack(bytes(r.state)) for r in model.state.collect()]
+    known = np.unique(np.concatenate([x.contexts for x in states]))
+    for u in (pitman_yor.START, *known[:5], np.uint64(12345)):
+        totals, kind = np.zeros(1 + len(model.samples), np.int64), 7
+        for x in states:
+            own = x.contexts[x.before] == u
+            totals += [x.n[own].sum(), *(t[0][own].sum() for t in x.kept)]
+            kind = int(x.kind[x.contexts == u][0]) if (x.contexts == u).any() else kind
+        before = lambda size, at: (np.full(size, at), np.full(size, totals[0]), [np.full(size, t) for t in totals[1:]])
+        total = pitman_yor.probabilities(None, np.array([-1]), np.array([kind]), model.samples, model.words, model.settings, before(1, -1))[0]
+        for x in states:
+            size, at = len(x.words), int(np.flatnonzero(x.contexts == u)[0]) if (x.contexts == u).any() else -1
+            total += pitman_yor.probabilities(x, np.arange(size), np.full(size, kind), model.samples, model.words, model.settings, before(size, at)).sum()
+        assert total == pytest.approx(1, abs=1e-9)
