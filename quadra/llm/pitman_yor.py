@@ -45,6 +45,11 @@ END, START = U(0x51ED270B9F3B5A17), U(0x2545F4914F6CDD1D)
 CHUNK = 500_000
 #: Bytes of text that a bucket stands for on average.
 BUCKET_BYTES = 6 << 20
+#: Bytes that it stands for at least where there are partitions for more buckets, and buckets for whose words one bucket sums totals: the rows
+#: that buckets send each other grow with the square of the buckets, divided by that.
+LEAST_BYTES, SUMMED = 2 << 20, 8
+#: Words whose restaurants' totals all scoring tasks get, and how many of them a row holds.
+HEAD, HEAD_PART = (1 << 16) - 2, 1024
 _FIX = float(1 << 32)
 _ROWS = "bucket int, kind byte, payload binary"
 _ROWS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
@@ -109,22 +114,92 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return h, context, before, row
 
 
-def _blobs(h: np.ndarray, columns: list[np.ndarray], extra: list[bytes], kind: int, buckets: int, to: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
-    """One packed row for each bucket; entries sorted by (bucket, hash). columns: further integers of each entry. to: their buckets, if not by hash."""
-    to = (h % U(buckets)).astype(np.int64) if to is None else to
-    order = np.lexsort((h, to))
-    h, to = h[order], to[order]
-    columns = [c[order] for c in columns]
-    for a, b in packed.runs(to):
-        first = packed.groups(h[a:b])
-        words = h[a:b][first]
-        yield int(to[a]), kind, packed.join([packed.planes(np.diff(words, prepend=U(0))), packed.planes(np.diff(first, append=b - a)), *(packed.planes(c[a:b]) for c in columns), *extra])
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash; sorted hashes have sorted buckets."""
+    return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
 
+def _press(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
 
-def _unblob(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(distinct words, entries of each, the other parts)."""
-    parts = packed.split(payload)
-    return np.cumsum(packed.unplanes(parts[0])), packed.unplanes(parts[1]).astype(np.int64), parts[2:]
+
+def _unpress(b: bytes) -> bytes:
+    return pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+
+
+@dataclass
+class Head:
+    """Frequent contexts, which tokens name by a number: hashes, most customers first, their classes, customers, and tables in each kept sweep."""
+
+    contexts: np.ndarray
+    kind: np.ndarray
+    customers: np.ndarray
+    tables: list[np.ndarray]
+
+
+class Chunk:
+    """Tokens of some batches, each as one number of (word, word before, row), by places in the words of the chunk."""
+
+    def __init__(self, held: list[tuple], rows: int):
+        h, context, before, row = (np.concatenate(x) for x in zip(*held, strict=True))
+        self.words, at = np.unique(np.concatenate([h, [START]]), return_inverse=True)
+        first = before == START
+        after = np.concatenate([at[:1], at[:-2]])  # a word before is the token before, but at a start
+        after[first] = at[-1]
+        self.kind = np.zeros(len(self.words), np.int64)
+        self.kind[after] = context
+        if len(self.words) ** 2 * rows < 1 << 62:
+            key = (at[:-1] * len(self.words) + after) * rows + row
+            key.sort()
+            new = packed.groups(key)
+            key, self.n = key[new], np.diff(new, append=len(key))
+            pair, self.row = np.divmod(key, rows)
+            self.at, self.before = np.divmod(pair, len(self.words))
+        else:
+            order = np.lexsort((row, after, at[:-1]))
+            at, after, row = at[:-1][order], after[order], row[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(after) != 0) | (np.diff(row) != 0)]))
+            self.at, self.before, self.row, self.n = at[new], after[new], row[new], np.diff(new, append=len(at))
+
+    def blobs(self, buckets: int, head: np.ndarray | None = None, extra: tuple[bytes, ...] = (), to: np.ndarray | None = None, rows: bool = False) -> Iterator[tuple[int, int, bytes]]:
+        """One packed row for each bucket. Words before in `head` are numbers; others are listed with their classes. to: buckets, if not by word."""
+        at, before, n, row = self.at, self.before, self.n, self.row
+        if to is None:
+            to = _bucket(self.words, buckets)[at]
+        else:
+            order = np.argsort(to.astype(np.uint16) if buckets <= 1 << 16 else to, kind="stable")
+            at, before, n, row, to = (x[order] for x in (at, before, n, row, to))
+        size = 0 if head is None else len(head)
+        code = np.full(len(self.words), -1)
+        if size:
+            order = np.argsort(head)
+            place = order[np.minimum(np.searchsorted(head, self.words, sorter=order), size - 1)]
+            code = np.where(head[place] == self.words, place, -1)
+        own = np.zeros(len(self.words), np.int64)
+        for a, b in packed.runs(to):
+            first = packed.groups(at[a:b])
+            rest = np.zeros(len(self.words), bool)
+            rest[before[a:b]] = True
+            rest = np.flatnonzero(rest & (code < 0))
+            own[:] = code
+            own[rest] = size + np.arange(len(rest))
+            parts = [_steps(self.words[at[a:b][first]]), packed.planes(np.diff(first, append=b - a)), _steps(self.words[rest]), packed.planes(self.kind[rest]), packed.planes(own[before[a:b]]), packed.planes(n[a:b])]
+            yield int(to[a]), 0, _press(packed.join([*parts, *([packed.planes(row[a:b])] if rows else []), *extra]))
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending values as differences."""
+    return packed.planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _whole(b: bytes) -> np.ndarray:
+    return packed.unplanes(b).view(np.int64)
+
+
+def _unblob(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(distinct words, entries of each, listed words before, their classes, each entry's word before, its tokens, the other parts)."""
+    parts = packed.split(_unpress(payload))
+    return np.cumsum(packed.unplanes(parts[0])), _whole(parts[1]), np.cumsum(packed.unplanes(parts[2])), _whole(parts[3]), _whole(parts[4]), _whole(parts[5]), parts[6:]
 
 
 def _batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -141,31 +216,25 @@ def _batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]
 # --- counting -------------------------------------------------------------------------------------------------------
 
 
-def _pairs(h: np.ndarray, context: np.ndarray, before: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word, word before) with the class of the latter and their counts, sorted."""
-    words, place = np.unique(h, return_inverse=True)
-    contexts, at = np.unique(before, return_inverse=True)
-    key, first, back = np.unique(place * len(contexts) + at, return_index=True, return_inverse=True)
-    count = np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
-    return words[key // len(contexts)], context[first], contexts[key % len(contexts)], count
+def _chunks(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[tuple[list[tuple], list[np.ndarray], int]]:
+    """(tokens, ids, rows) of about CHUNK tokens at a time."""
+    held, ids, size, seen = [], [], 0, 0
+    for batch in slices(batches):
+        h, context, before, row = _tokens(batch)
+        held.append((h, context, before, row + seen if extra else np.zeros(len(row), np.int64)))
+        if extra:
+            ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
+        seen += batch.num_rows
+        size += len(h)
+        if size >= CHUNK:
+            yield held, ids, seen
+            held, ids, size, seen = [], [], 0, 0
+    if held:
+        yield held, ids, seen
 
 
 def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    def rows():
-        held, size = [], 0
-        for batch in slices(batches):
-            h, context, before, _ = _tokens(batch)
-            held.append((h, context, before))
-            size += len(h)
-            if size >= CHUNK:
-                w, c, u, n = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, size = [], 0
-                yield from _blobs(w, [c, n, u], [], 0, buckets)
-        if held:
-            w, c, u, n = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield from _blobs(w, [c, n, u], [], 0, buckets)
-
-    yield from _batches(rows())
+    yield from _batches(row for held, _, _ in _chunks(batches) for row in Chunk(held, 1).blobs(buckets))
 
 
 def _sums(at: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
@@ -177,42 +246,34 @@ class State:
 
     words: sorted hashes; count: their tokens. key: word * CONTEXTS + class of each cell of a class, sorted. contexts: sorted hashes of words before; kind: their classes.
     Cells of words before are sorted by (word, before), both as places; n: their customers.
-    now, kept: (tables of those cells; customers, tables of the cells of classes; tables of the parents' cells; tables in the root), of now and of each kept sweep.
+    kept: (tables of those cells; customers, tables of the cells of classes; tables of the parents' cells; tables in the root), of each kept sweep.
     """
 
-    def __init__(self, words, count, key, contexts, kind, at, before, n, now, kept=()):
+    def __init__(self, words, count, key, contexts, kind, at, before, n, kept=()):
         self.words, self.count, self.key, self.contexts, self.kind, self.at, self.before, self.n = words, count, key, contexts, kind, at, before, n
         self.word = key // CONTEXTS
-        above = self.word * PARENTS + _PARENT[key % CONTEXTS]
-        self.pkey, self.up = np.unique(above, return_inverse=True)
+        self.pkey, self.up = _above(key)
         self.pword = self.pkey // PARENTS
-        self.now, self.kept = now, list(kept)
-
-    @staticmethod
-    def first(words, contexts, kind, at, before, n) -> State:
-        """Each cell with one table."""
-        key, up = np.unique(at * CONTEXTS + kind[before], return_inverse=True)
-        x = State(words, _sums(at, n, len(words)), key, contexts, kind, at, before, n, None)
-        ones = lambda size: np.ones(size, np.int64)
-        x.now = (ones(len(n)), _sums(up, None, len(key)), ones(len(key)), ones(len(x.pkey)), ones(len(words)))
-        return x
-
-    @property
-    def cell(self) -> np.ndarray:
-        """The cell of a class that each cell of a word before belongs to."""
-        return np.searchsorted(self.key, self.at * CONTEXTS + self.kind[self.before])
+        self.kept = list(kept)
 
     def pack(self) -> bytes:
-        ascending = lambda x: packed.planes(np.diff(x, prepend=x.dtype.type(0)))
-        parts = [ascending(self.words), packed.planes(self.count), ascending(self.key), ascending(self.contexts), packed.planes(self.kind), ascending(self.at), packed.planes(self.before), packed.planes(self.n)]
-        return packed.join(parts + [packed.planes(x) for tables in (self.now, *self.kept) for x in tables])
+        """Cells of one customer have one table, which is left out."""
+        parts = [_steps(self.words), packed.planes(self.count), _steps(self.key), _steps(self.contexts), packed.planes(self.kind), _steps(self.at * len(self.contexts) + self.before), packed.planes(self.n)]
+        many = self.n > 1
+        return _press(packed.join(parts + [packed.planes(x) for own, *above in self.kept for x in (own[many], *above)]))
 
     @staticmethod
     def unpack(b: bytes) -> State:
-        parts = [packed.unplanes(p) for p in packed.split(b)]
+        parts = [packed.unplanes(p) for p in packed.split(_unpress(b))]
         whole = [p.view(np.int64) for p in parts]
-        tables = [tuple(whole[i : i + 5]) for i in range(8, len(whole), 5)]
-        return State(np.cumsum(parts[0]), whole[1], np.cumsum(whole[2]), np.cumsum(parts[3]), whole[4], np.cumsum(whole[5]), whole[6], whole[7], tables[0], tables[1:])
+        contexts, n = np.cumsum(parts[3]), whole[6]
+        at, before = np.divmod(np.cumsum(whole[5]), max(1, len(contexts)))
+        many, kept = np.flatnonzero(n > 1), []
+        for i in range(7, len(whole), 5):
+            own = np.ones(len(n), np.int64)
+            own[many] = whole[i]
+            kept.append((own, *whole[i + 1 : i + 5]))
+        return State(np.cumsum(parts[0]), whole[1], np.cumsum(whole[2]), contexts, whole[4], at, before, n, kept)
 
     def take(self, words: np.ndarray, cells: np.ndarray) -> State:
         """Some words (a mask), with some of their cells of words before (a mask), as kept."""
@@ -221,7 +282,7 @@ class State:
         own, above = words[self.word], words[self.pword]
         key = rank[self.word[own]] * CONTEXTS + self.key[own] % CONTEXTS
         kept = [(a[cells], c[own], t[own], pt[above], rt[words]) for a, c, t, pt, rt in self.kept]
-        return State(self.words[words], self.count[words], key, self.contexts[used], self.kind[used], rank[self.at[cells]], before, self.n[cells], kept[-1], kept)
+        return State(self.words[words], self.count[words], key, self.contexts[used], self.kind[used], rank[self.at[cells]], before, self.n[cells], kept)
 
     @staticmethod
     def merged(some: list[State]) -> State | None:
@@ -239,11 +300,11 @@ class State:
         pkey = np.concatenate([r[x.pword] * PARENTS + x.pkey % PARENTS for r, x in zip(ranks, some, strict=True)])
         at = np.concatenate([r[x.at] for r, x in zip(ranks, some, strict=True)])
         before = np.concatenate([np.searchsorted(contexts, x.contexts)[x.before] for x in some])
-        cells, own, above = np.lexsort((before, at)), np.argsort(key), np.argsort(pkey)
+        cells, own, above = (np.argsort(k, kind="stable") for k in (at, key, pkey))  # runs that are sorted
         orders = (cells, own, own, above, order)
         kept = [tuple(np.concatenate(c)[o] for c, o in zip(zip(*tables, strict=True), orders, strict=True)) for tables in zip(*(x.kept for x in some), strict=True)]
         count, n = (np.concatenate([getattr(x, k) for x in some]) for k in ("count", "n"))
-        return State(words[order], count[order], key[own], contexts, kind, at[cells], before[cells], n[cells], kept[-1], kept)
+        return State(words[order], count[order], key[own], contexts, kind, at[cells], before[cells], n[cells], kept)
 
     def below(self, t: np.ndarray) -> np.ndarray:
         """Customers of the parents: tables of their contexts."""
@@ -252,32 +313,108 @@ class State:
     def root(self, pt: np.ndarray) -> np.ndarray:
         return _sums(self.pword, pt, len(self.words))
 
+
+def _above(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the parents' cells, that of each cell of a class); both are sorted."""
+    above = key // CONTEXTS * PARENTS + _PARENT[key % CONTEXTS]
+    first = packed.groups(above)
+    return above[first], np.repeat(np.arange(len(first)), np.diff(first, append=len(above)))
+
+
+class Seats:
+    """What sweeps change in a bucket. A cell of one customer has one table in every sweep: only cells of more are here, of the others their numbers.
+
+    words, key: as in State; alone: cells of one customer in each cell of a class. contexts: sorted hashes of the words before of the cells of more;
+    cell, before, n: of each of those, its cell of a class, its word before, its customers. rest: tables of cells of one customer in those contexts' restaurants,
+    over all buckets (known from the first sweep on). now, kept: as State's, without the customers of the cells of classes, which follow.
+    """
+
+    def __init__(self, words, key, alone, contexts, cell, before, n, rest, now, kept=()):
+        self.words, self.key, self.alone, self.contexts, self.cell, self.before, self.n, self.rest = words, key, alone, contexts, cell, before, n, rest
+        self.word = key // CONTEXTS
+        self.pkey, self.up = _above(key)
+        self.pword = self.pkey // PARENTS
+        self.now, self.kept = now, list(kept)
+
+    @staticmethod
+    def first(x: State) -> Seats:
+        """Each cell with one table."""
+        cell = np.searchsorted(x.key, x.at * CONTEXTS + x.kind[x.before])
+        many = x.n > 1
+        used, before = np.unique(x.before[many], return_inverse=True)
+        ones = lambda size: np.ones(size, np.int64)
+        now = (ones(len(before)), ones(len(x.key)), ones(len(x.pkey)), ones(len(x.words)))
+        return Seats(x.words, x.key, _sums(cell[~many], None, len(x.key)), x.contexts[used], cell[many], before, x.n[many], np.zeros(len(used), np.int64), now)
+
+    def pack(self) -> bytes:
+        parts = [_steps(self.words), _steps(self.key), packed.planes(self.alone), _steps(self.contexts), _steps(self.cell), packed.planes(self.before), packed.planes(self.n), packed.planes(self.rest)]
+        return _press(packed.join(parts + [packed.planes(x) for tables in (self.now, *self.kept) for x in tables]))
+
+    @staticmethod
+    def unpack(b: bytes) -> Seats:
+        parts = packed.split(_unpress(b))
+        words, contexts = (np.cumsum(packed.unplanes(parts[k])) for k in (0, 3))
+        key, cell = (np.cumsum(_whole(parts[k])) for k in (1, 4))
+        alone, before, n, rest, *tables = (_whole(parts[k]) for k in (2, 5, 6, 7, *range(8, len(parts))))
+        tables = [tuple(tables[i : i + 4]) for i in range(0, len(tables), 4)]
+        return Seats(words, key, alone, contexts, cell, before, n, rest, tables[0], tables[1:])
+
+    def customers(self, own: np.ndarray) -> np.ndarray:
+        """Customers of the cells of classes: tables of their words before."""
+        return self.alone + _sums(self.cell, own, len(self.key))
+
+    def below(self, t: np.ndarray) -> np.ndarray:
+        return _sums(self.up, t, len(self.pkey))
+
+    def root(self, pt: np.ndarray) -> np.ndarray:
+        return _sums(self.pword, pt, len(self.words))
+
     def stats(self) -> np.ndarray:
         """words and tokens, then customers and tables: of classes, of parents, of the root."""
         context, parent = self.key % CONTEXTS, self.pkey % PARENTS
-        _, c, t, pt, rt = self.now
-        return np.concatenate([[len(self.words), self.n.sum()], _sums(context, c, CONTEXTS), _sums(context, t, CONTEXTS), _sums(parent, self.below(t), PARENTS), _sums(parent, pt, PARENTS), [pt.sum(), rt.sum()]]).astype(np.int64)
+        own, t, pt, rt = self.now
+        return np.concatenate([[len(self.words), self.n.sum() + self.alone.sum()], _sums(context, self.customers(own), CONTEXTS), _sums(context, t, CONTEXTS), _sums(parent, self.below(t), PARENTS), _sums(parent, pt, PARENTS), [pt.sum(), rt.sum()]]).astype(np.int64)
+
+    def into(self, x: State) -> State:
+        """The whole state, with the kept sweeps."""
+        many = np.flatnonzero(x.n > 1)
+        for own, t, pt, rt in self.kept:
+            whole = np.ones(len(x.n), np.int64)
+            whole[many] = own
+            x.kept.append((whole, self.customers(own), t, pt, rt))
+        return x
 
 
-_STATE = "bucket int, state binary, stats array<long>"
+_SEATS = "bucket int, seats binary, stats array<long>"
+_BOTH = "bucket int, state binary, seats binary, stats array<long>"
+_STATE = "bucket int, state binary"
 
 
-def _state_table(bucket: int, state: State) -> pa.Table:
-    return pa.table([pa.array([bucket], pa.int32()), pa.array([state.pack()], pa.binary()), pa.array([state.stats()], pa.list_(pa.int64()))], names=["bucket", "state", "stats"])
+def _seats_table(bucket: int, seats: Seats, state: State | None = None) -> pa.Table:
+    columns = {"bucket": pa.array([bucket], pa.int32())}
+    if state is not None:
+        columns["state"] = pa.array([state.pack()], pa.binary())
+    return pa.table(columns | {"seats": pa.array([seats.pack()], pa.binary()), "stats": pa.array([seats.stats()], pa.list_(pa.int64()))})
 
 
 def _gather(key, table: pa.Table) -> pa.Table:
-    ws, cs, ns, us = [], [], [], []
-    for payload in table.column("payload").to_pylist():
-        words, sizes, parts = _unblob(payload)
-        ws.append(np.repeat(words, sizes))
-        cs.append(packed.unplanes(parts[0]).astype(np.int64))
-        ns.append(packed.unplanes(parts[1]).astype(np.int64))
-        us.append(packed.unplanes(parts[2]))
-    w, context, u, n = _pairs(*(np.concatenate(x) for x in (ws, cs, us, ns)))
-    words, at = np.unique(w, return_inverse=True)
-    contexts, first, before = np.unique(u, return_index=True, return_inverse=True)
-    out = _state_table(key[0].as_py(), State.first(words, contexts, context[first], at, before, n))
+    got = [_unblob(p) for p in table.column("payload").to_pylist()]
+    words, place = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    contexts, first, back = np.unique(np.concatenate([g[2] for g in got]), return_index=True, return_inverse=True)
+    kind = np.concatenate([g[3] for g in got])[first]
+    begin = np.cumsum([0, *(len(g[2]) for g in got)])
+    at = np.repeat(place, np.concatenate([g[1] for g in got]))
+    before = back[np.concatenate([g[4] + b for g, b in zip(got, begin, strict=False)])]
+    n = np.concatenate([g[5] for g in got])
+    cell = at * len(contexts) + before
+    order = np.argsort(cell)
+    cell = cell[order]
+    new = packed.groups(cell)
+    n = np.add.reduceat(n[order], new)
+    at, before = np.divmod(cell[new], len(contexts))
+    key_of = np.unique(at * CONTEXTS + kind[before])
+    x = State(words, _sums(at, n, len(words)), key_of, contexts, kind, at, before, n)
+    out = _seats_table(key[0].as_py(), Seats.first(x), x)
     release()
     return out
 
@@ -285,27 +422,30 @@ def _gather(key, table: pa.Table) -> pa.Table:
 # --- totals of the restaurants of words -------------------------------------------------------------------------------
 
 
-def _dealt(contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order by bucket, buckets in that order) of sorted contexts."""
-    to = (contexts % U(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    return order, to[order]
-
-
-def _offer(bucket: int, contexts: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """A bucket's shares of the totals of some contexts, a row for each of the contexts' buckets."""
-    order, to = _dealt(contexts, buckets)
+def _offer(bucket: int, contexts: np.ndarray, columns: list[np.ndarray], buckets: int, kind: int = 3) -> Iterator[tuple[int, int, bytes]]:
+    """A bucket's shares of the totals of some contexts, a row for each of the contexts' buckets. kind 3 asks for the sums, kind 5 does not."""
+    to = _bucket(contexts, -(-buckets // SUMMED))
     for a, b in packed.runs(to):
-        own = order[a:b]
-        yield int(to[a]), 3, packed.join([packed.planes(np.array([bucket])), packed.planes(np.diff(contexts[own], prepend=U(0))), *(packed.planes(c[own]) for c in columns)])
+        yield int(to[a]), kind, _press(packed.join([packed.planes(np.array([bucket])), _steps(contexts[a:b]), *(packed.planes(c[a:b]) for c in columns)]))
 
 
 def _offers(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Tables of the cells of more than one customer; in the first sweep (with the states) also of the others, which stay."""
+
     def rows():
         for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("state").to_pylist(), strict=True):
-                x = State.unpack(blob)
-                yield from _offer(bucket, x.contexts, [_sums(x.before, w, len(x.contexts)) for w in (x.n, x.now[0])], buckets)
+            first = "state" in batch.schema.names
+            states = batch.column("state").to_pylist() if first else [None] * batch.num_rows
+            for bucket, blob, state in zip(batch.column("bucket").to_pylist(), batch.column("seats").to_pylist(), states, strict=True):
+                x = Seats.unpack(blob)
+                columns = [_sums(x.before, x.now[0], len(x.contexts))]
+                if first:
+                    whole = State.unpack(state)
+                    alone = _sums(whole.before[whole.n == 1], None, len(whole.contexts))
+                    here = np.isin(whole.contexts, x.contexts, assume_unique=True)
+                    columns.append(alone[here])
+                    yield from _offer(bucket, whole.contexts[~here], [np.zeros(int((~here).sum()), np.int64), alone[~here]], buckets, 5)
+                yield from _offer(bucket, x.contexts, columns, buckets)
 
     yield from _batches(rows())
 
@@ -315,24 +455,31 @@ def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def _total(key, table: pa.Table) -> pa.Table:
-    """The sums of the offers to one bucket, to each bucket that made one, of its contexts in its order."""
-    offers = [packed.split(p) for p in table.column("payload").to_pylist()]
+    """The sums of the offers to one bucket, to each bucket that asked, of its contexts in its order."""
+    kinds = table.column("kind").to_pylist()
+    offers = [packed.split(_unpress(p)) for p in table.column("payload").to_pylist()]
     hashes = [np.cumsum(packed.unplanes(o[1])) for o in offers]
     contexts, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    sums = [_sums(at, np.concatenate([packed.unplanes(o[k]) for o in offers]), len(contexts))[at] for k in range(2, len(offers[0]))]
     ends = np.cumsum([len(h) for h in hashes]).tolist()
-    return _table([(int(packed.unplanes(o[0])[0]), 3, packed.join([packed.planes(np.array([key[0].as_py()])), *(packed.planes(c[b - len(h) : b]) for c in sums)])) for o, h, b in zip(offers, hashes, ends, strict=True)])
+    places = [at[b - len(h) : b] for h, b in zip(hashes, ends, strict=True)]
+    sums = [np.zeros(len(contexts), np.int64) for _ in range(2, max(map(len, offers)))]
+    for o, place in zip(offers, places, strict=True):
+        for total, part in zip(sums, o[2:], strict=False):  # those that only ask have no shares
+            total[place] += _whole(part)
+    out = _table([(int(packed.unplanes(o[0])[0]), 3, _press(packed.join([packed.planes(np.array([key[0].as_py()])), *(packed.planes(c[place]) for c in sums)]))) for kind, o, place in zip(kinds, offers, places, strict=True) if kind == 3])
+    release()
+    return out
 
 
 def _received(contexts: np.ndarray, payloads: list[bytes], columns: int, buckets: int) -> list[np.ndarray]:
-    """What came back for all contexts that were offered."""
-    order, to = _dealt(contexts, buckets)
+    """What came back for all contexts that were asked for."""
+    to = _bucket(contexts, -(-buckets // SUMMED))
     out = np.zeros((columns, len(contexts)), np.int64)
     for payload in payloads:
-        parts = packed.split(payload)
+        parts = packed.split(_unpress(payload))
         a, b = np.searchsorted(to, [int(x) + int(packed.unplanes(parts[0])[0]) for x in (0, 1)])
-        for column, part in zip(out, parts[1:], strict=True):
-            column[order[a:b]] = packed.unplanes(part)
+        for column, part in zip(out, parts[1:], strict=False):
+            column[a:b] = packed.unplanes(part)
     return list(out)
 
 
@@ -386,7 +533,7 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, sw
 
     The first customers come one by one. After them, with t tables, customer i + 1 opens one with probability w / (i - dt + w); so m customers after
     the nth open none with probability G(n + m) / G(n), where G(x) = gamma(x - dt) / gamma(x - dt + w). A uniform draw is set against that, for the
-    next opening customer: the same process, in as many steps as tables. Cells with very many tables finish by themselves.
+    next opening customer: the same process, in as many steps as tables, searched from a guess. Cells with very many tables finish by themselves.
     """
     t, at = np.minimum(c, 1), np.flatnonzero(c > 1)
     salt = sweep * 1_000_003
@@ -401,14 +548,22 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, sw
         if not len(at):
             return t
         low = discount * t[at]
-        want = np.log(_uniform(own, salt + turn)) + _stays(n, low, w)
+        draw = np.log(_uniform(own, salt + turn))
+        want = draw + _stays(n, low, w)
         opens = _stays(total, low, w) < want
-        at, n, total, w, own, low, want = (x[opens] for x in (at, n, total, w, own, low, want))
+        at, n, total, w, own, low, want, draw = (x[opens] for x in (at, n, total, w, own, low, want, draw))
         below, above = n.copy(), total.copy()  # the opening customer is in (below, above]
-        while len(wide := np.flatnonzero(above - below > 1)):
-            middle = (below[wide] + above[wide]) // 2
-            past = _stays(middle, low[wide], w[wide]) < want[wide]
-            above[wide], below[wide] = np.where(past, middle, above[wide]), np.where(past, below[wide], middle)
+        middle = np.clip(_guess(n - low, w, draw, total) + low, n, total).astype(np.int64)
+        wide, step = np.flatnonzero(above - below > 1), 1
+        middle = middle[wide]
+        while len(wide):
+            low_, w_, under, over = low[wide], w[wide], below[wide], above[wide]
+            middle = np.clip(middle, under + 1, over - 1) if step <= _NEAR else (under + over) // 2
+            past = _stays(middle, low_, w_) < want[wide]
+            above[wide], below[wide] = np.where(past, middle, over), np.where(past, under, middle)
+            still = above[wide] - below[wide] > 1
+            wide, middle = wide[still], np.where(past, middle - step, middle + step)[still]
+            step *= 4
         t[at] += 1
         more = above < total
         at, n, total, w, own = at[more], above[more], total[more], w[more], own[more]
@@ -419,6 +574,14 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, sw
 
 #: Customers seated one by one, and turns that all cells take together.
 _SINGLY = 32
+#: Customers who are asked one by one for the next opening, and the width of the search around a guess.
+_NEAR = 16
+
+
+def _guess(x: np.ndarray, w: np.ndarray, draw: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """About where gamma(x) / gamma(x + w) has fallen by exp(draw): it is nearly a power, (x + (w - 1) / 2) ** -w."""
+    middle = x + (w - 1) / 2
+    return middle * np.exp(np.minimum(-draw / w, np.log1p(most / middle) + 1)) - (w - 1) / 2
 
 
 def _stays(x: np.ndarray, low: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -427,7 +590,7 @@ def _stays(x: np.ndarray, low: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _alone(t: int, n: int, total: int, w: float, discount: float, rng: np.random.Generator) -> int:
-    """One cell to its end; the same draws and search, number by number."""
+    """One cell to its end; the same draws, number by number."""
     gamma, draws = math.lgamma, iter(())
     while n < total:
         u = next(draws, None)
@@ -435,11 +598,21 @@ def _alone(t: int, n: int, total: int, w: float, discount: float, rng: np.random
             draws = iter(np.log(rng.random(256)).tolist())
             u = next(draws)
         low = discount * t
+        near, stays = math.exp(u), 1.0
+        for m in range(n, min(total, n + _NEAR)):  # the next opening is most likely near
+            stays *= (m - low) / (m - low + w)
+            if stays < near:
+                break
+        if stays < near:
+            n, t = m + 1, t + 1
+            continue
+        if n + _NEAR >= total:
+            return t
         want = u + gamma(n - low) - gamma(n - low + w)
         if gamma(total - low) - gamma(total - low + w) >= want:
             return t
-        below, above, step = n, total, max(1, int((n + w) / w))
-        while below + step < above:  # the next opening is most likely near: widen from there
+        below, above, step = n + _NEAR, total, max(1, int((n + w) / w))
+        while below + step < above:  # widen from there
             if gamma(below + step - low) - gamma(below + step - low + w) < want:
                 above = below + step
                 break
@@ -456,52 +629,76 @@ def _alone(t: int, n: int, total: int, w: float, discount: float, rng: np.random
 
 
 def _sweep(key, stated: pa.Table, received: pa.Table, totals: Totals, words: int, s: Settings, sweep: int, buckets: int) -> pa.Table:
-    x = State.unpack(stated.column("state")[0].as_py())
-    customers, tables = _received(x.contexts, received.column("payload").to_pylist(), 2, buckets)
+    x = Seats.unpack(stated.column("seats")[0].as_py())
+    tables, *rest = _received(x.contexts, received.column("payload").to_pylist(), 1 if sweep else 2, buckets)
+    if rest:
+        x.rest = rest[0]
+    tables = tables + x.rest
     salt = s.seed + 1000 * sweep
-    parent, context, cell = x.pkey % PARENTS, x.key % CONTEXTS, x.cell
-    keys = [x.words, mix(x.words[x.pword] + (parent + 1).astype(U)), mix(x.words[x.word] + (context + 1 + PARENTS).astype(U)), mix(mix(x.words[x.at]) + x.contexts[x.before])]
-    _, c, t, pt, rt = x.now
+    parent, context = x.pkey % PARENTS, x.key % CONTEXTS
+    mixed = mix(x.words)
+    keys = [x.words, mix(x.words[x.pword] + (parent + 1).astype(U)), mix(x.words[x.word] + (context + 1 + PARENTS).astype(U)), mix(mixed[x.word[x.cell]] + x.contexts[x.before])]
+    own, t, pt, rt = x.now
     root = _root(x.root(pt), rt, totals, words, s)
     p = _step(x.below(t), pt, totals.parent_customers[parent], totals.parent_tables[parent], root[x.pword], 1, s)
     d, a = s.discounts, s.strengths
-    close = _step(c, t, totals.context_customers[context], totals.context_tables[context], p[x.up], 2, s)
-    own = seat(x.n, (s.word_strength + s.word_discount * tables[x.before]) * close[cell], s.word_discount, keys[3], salt)
-    c = _sums(cell, own, len(x.key))
-    t = seat(c, (a[2] + d[2] * totals.context_tables[context]) * p[x.up], d[2], keys[2], salt)
+    close = _step(x.customers(own), t, totals.context_customers[context], totals.context_tables[context], p[x.up], 2, s)
+    own = seat(x.n, (s.word_strength + s.word_discount * tables[x.before]) * close[x.cell], s.word_discount, keys[3], salt)
+    t = seat(x.customers(own), (a[2] + d[2] * totals.context_tables[context]) * p[x.up], d[2], keys[2], salt)
     pt = seat(x.below(t), (a[1] + d[1] * totals.parent_tables[parent]) * root[x.pword], d[1], keys[1], salt)
     base = np.full(len(x.words), (a[0] + d[0] * totals.root_tables) / (words + 1))
     rt = seat(x.root(pt), base, d[0], keys[0], salt)
-    x.now = (own, c, t, pt, rt)
+    x.now = (own, t, pt, rt)
     if sweep >= s.burn:
         x.kept.append(x.now)
-    out = _state_table(key[0].as_py(), x)
+    out = _seats_table(key[0].as_py(), x)
+    release()
+    return out
+
+
+def _complete(key, stated: pa.Table, seated: pa.Table) -> pa.Table:
+    x = Seats.unpack(seated.column("seats")[0].as_py()).into(State.unpack(stated.column("state")[0].as_py()))
+    out = pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([x.pack()], pa.binary())], names=["bucket", "state"])
     release()
     return out
 
 
+def _save(df: DataFrame) -> DataFrame:
+    """A scratch table; the files of the exchanges that made it go at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return runtime.save(df, "lm-state")
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     """Learn from all rows of docs (doc_id, text)."""
     s = settings or Settings()
     spark = docs.sparkSession
     runtime.ship(spark)
     measured = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(runtime.shuffle_partitions(spark), -(-measured // BUCKET_BYTES))
+    buckets = max(1, -(-measured // BUCKET_BYTES), min(runtime.shuffle_partitions(spark), -(-measured // LEAST_BYTES)))
     rows = docs.select("text").mapInArrow(partial(_count, buckets=buckets), _ROWS)
-    state = runtime.save(rows.groupBy("bucket").applyInArrow(lambda key, table: _gather(key, table), _STATE), "lm-state")
-    words, tokens, totals = _totals(state, buckets)
+    whole = seats = _save(rows.groupBy("bucket").applyInArrow(lambda key, table: _gather(key, table), _BOTH))
+    words, tokens, totals = _totals(seats, buckets)
     model = Model(s, words, tokens, buckets=buckets)
     for sweep in range(s.burn + s.samples):
-        sums = state.select("bucket", "state").mapInArrow(partial(_offers, buckets=buckets), _ROWS).groupBy("bucket").applyInArrow(lambda key, table: _total(key, table), _ROWS)
+        offers = seats.select("bucket", "seats", *([] if sweep else ["state"])).mapInArrow(partial(_offers, buckets=buckets), _ROWS)
+        sums = offers.groupBy("bucket").applyInArrow(lambda key, table: _total(key, table), _ROWS)
         turn = partial(_sweep, totals=totals, words=words, s=s, sweep=sweep, buckets=buckets)
-        seated = state.select("bucket", "state").groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(lambda key, left, right: turn(key, left, right), _STATE)
-        after = runtime.save(seated, "lm-state")
-        runtime.drop(state)
-        state = after
-        _, _, totals = _totals(state, buckets)
+        after = _save(seats.select("bucket", "seats").groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(lambda key, left, right: turn(key, left, right), _SEATS))
+        if seats is not whole:
+            runtime.drop(seats)
+        seats = after
+        _, _, totals = _totals(seats, buckets)
         if sweep >= s.burn:
             model.samples.append(totals)
-    model.state = state
+    model.state = _save(whole.select("bucket", "state").groupBy("bucket").cogroup(seats.select("bucket", "seats").groupBy("bucket")).applyInArrow(lambda key, left, right: _complete(key, left, right), _STATE))
+    runtime.drop(whole)
+    runtime.drop(seats)
     return model
 
 
@@ -556,6 +753,73 @@ def _frequent(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
             yield pa.record_batch([pa.array(x.words[top].view(np.int64)), pa.array(x.count[top])], names=["word", "c"])
 
 
+def _common(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The `most` most frequent words of each bucket."""
+    for batch in batches:
+        for blob in batch.column("state").to_pylist():
+            x = State.unpack(blob)
+            top = np.argsort(-x.count, kind="stable")[:most]
+            yield pa.record_batch([pa.array(x.words[top].view(np.int64)), pa.array(x.count[top])], names=["word", "c"])
+
+
+def _shares(batches: Iterator[pa.RecordBatch], contexts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A bucket's customers and tables in the restaurants of frequent words, and their classes, HEAD_PART words to a row."""
+
+    def rows():
+        for batch in batches:
+            for blob in batch.column("state").to_pylist():
+                x = State.unpack(blob)
+                columns = [_sums(x.before, w, len(x.contexts)) for w in (x.n, *(own for own, *_ in x.kept))] + [x.kind]
+                place = np.minimum(np.searchsorted(contexts, x.contexts), len(contexts) - 1)
+                here = np.flatnonzero(contexts[place] == x.contexts)
+                place = place[here]
+                for a, b in packed.runs(place // HEAD_PART):
+                    yield int(place[a]) // HEAD_PART, 0, _press(packed.join([packed.planes(place[a:b] % HEAD_PART), *(packed.planes(c[here[a:b]]) for c in columns)]))
+
+    yield from _batches(rows())
+
+
+def _shared(key, table: pa.Table) -> pa.Table:
+    columns = None
+    for payload in table.column("payload").to_pylist():
+        at, *got = (_whole(p) for p in packed.split(_unpress(payload)))
+        columns = [np.zeros(HEAD_PART, np.int64) for _ in got] if columns is None else columns
+        for total, part in zip(columns[:-1], got[:-1], strict=True):
+            total[at] += part
+        columns[-1][at] = got[-1]
+    return _table([(key[0].as_py(), 0, packed.join([packed.planes(c) for c in columns]))])
+
+
+def _head(model: Model) -> Head:
+    """HEAD frequent words as contexts: customers, tables and classes on the driver (2 MB at most)."""
+    most = 64 + 4 * HEAD // model.buckets
+    found = model.state.select("state").mapInArrow(partial(_common, most=most), "word long, c long").orderBy(F.desc("c"), "word").limit(HEAD).select("word").collect()
+    contexts = np.unique(np.concatenate([np.array([r["word"] for r in found], np.int64).view(U), [START]]))
+    rows = model.state.select("state").mapInArrow(partial(_shares, contexts=contexts), _ROWS).groupBy("bucket").applyInArrow(lambda key, table: _shared(key, table), _ROWS).select("bucket", "payload").collect()
+    columns = np.zeros((len(model.samples) + 2, -(-len(contexts) // HEAD_PART) * HEAD_PART), np.int64)
+    for r in rows:
+        columns[:, r["bucket"] * HEAD_PART : (r["bucket"] + 1) * HEAD_PART] = [_whole(p) for p in packed.split(bytes(r["payload"]))]
+    columns = columns[:, : len(contexts)]
+    order = np.argsort(-columns[0], kind="stable")
+    order = order[columns[0][order] > 0]
+    customers, *tables, kind = columns[:, order]
+    return Head(contexts[order], kind, customers, tables)
+
+
+def _rest(batches: Iterator[pa.RecordBatch], head: Head, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The buckets' customers and tables in the restaurants of all other words."""
+
+    def rows():
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("state").to_pylist(), strict=True):
+                x = State.unpack(blob)
+                other = ~np.isin(x.contexts, head.contexts, assume_unique=True)
+                columns = [_sums(x.before, w, len(x.contexts))[other] for w in (x.n, *(own for own, *_ in x.kept))]
+                yield from _offer(bucket, x.contexts[other], columns, buckets, 5)
+
+    yield from _batches(rows())
+
+
 def _part(before: np.ndarray, parts: np.ndarray) -> np.ndarray:
     return (mix(before + U(0x632BE59BD9B4E019)) % parts.astype(U)).astype(np.int64)
 
@@ -594,98 +858,82 @@ def _partial(ids: np.ndarray, n: np.ndarray, known: np.ndarray, base: np.ndarray
     return packed.join([packed.deltas(ids[order]), *(packed.planes(packed.zigzag(c[order])) for c in (n, known, base, score))])
 
 
-def _ask(batches: Iterator[pa.RecordBatch], split: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], split: tuple[np.ndarray, np.ndarray], head: Head, buckets: int) -> Iterator[pa.RecordBatch]:
     """Each document's number of tokens (kind 1), and its tokens for their words' buckets (kind 0)."""
     words, parts = split
 
-    def flush(held, turn):
-        h, context, before, row, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-        doc, row = np.unique(ids[row], return_inverse=True)
-        none = np.zeros(len(doc), np.int64)
-        yield turn % buckets, 1, _partial(doc, np.bincount(row, minlength=len(doc)), none, none, none)
-        order = np.lexsort((row, before, h))
-        h, context, before, row = h[order], context[order], before[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (before[1:] != before[:-1]) | (row[1:] != row[:-1])
-        first = np.flatnonzero(new)
-        n = np.diff(first, append=len(h))
-        h, context, before, row = h[first], context[first], before[first], row[first]
-        to = (h % U(buckets)).astype(np.int64)
-        if len(words):
-            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            dealt = words[at] == h
-            to[dealt] = (to[dealt] + _part(before[dealt], parts[at[dealt]])) % buckets
-        yield from _blobs(h, [context, row, n, before], [packed.deltas(doc)], 0, buckets, to)
-
     def rows():
-        held, size, turn, seen = [], 0, 0, 0
-        for batch in slices(batches):
-            h, context, before, row = _tokens(batch)
-            held.append((h, context, before, row + seen, batch.column("doc_id").to_numpy(zero_copy_only=False)))
-            seen += batch.num_rows
-            size += len(h)
-            if size >= CHUNK:
-                yield from flush(held, turn)
-                held, size, turn, seen = [], 0, turn + 1, 0
-        if held:
-            yield from flush(held, turn)
+        for turn, (held, ids, size) in enumerate(_chunks(batches, True)):
+            doc, row = np.unique(np.concatenate(ids), return_inverse=True)
+            held = [(h, context, before, row[r]) for h, context, before, r in held]
+            none = np.zeros(len(doc), np.int64)
+            yield turn % buckets, 1, _partial(doc, sum(np.bincount(h[3], minlength=len(doc)) for h in held), none, none, none)
+            x = Chunk(held, len(doc))
+            to = _bucket(x.words, buckets)[x.at]
+            if len(words):
+                at = np.minimum(np.searchsorted(words, x.words), len(words) - 1)
+                dealt = np.flatnonzero((words[at] == x.words)[x.at])
+                to[dealt] = (to[dealt] + _part(x.words[x.before[dealt]], parts[at[x.at[dealt]]])) % buckets
+            yield from x.blobs(buckets, head.contexts, (packed.deltas(doc),), to, rows=True)
 
     yield from _batches(rows())
 
 
-def _needed(asked: pa.Table, x: State | None) -> np.ndarray:
-    """The contexts of a bucket's cells and of the tokens that ask there."""
-    found = [np.unique(packed.unplanes(packed.split(p)[5])) for kind, p in zip(asked.column("kind").to_pylist(), asked.column("payload").to_pylist(), strict=True) if kind == 0]
-    return np.unique(np.concatenate([*found, x.contexts if x is not None else np.empty(0, U)])) if found or x is not None else np.empty(0, U)
-
-
-def _stated(table: pa.Table) -> tuple[State | None, list[bytes]]:
-    """(the state, the other payloads) of a bucket."""
-    rows = list(zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True))
-    return State.merged([State.unpack(p) for kind, p in rows if kind == 4]), [p for kind, p in rows if kind != 4]
-
-
-def _want(key, asked: pa.Table, pieces: pa.Table, samples: int, buckets: int) -> pa.Table:
-    x, _ = _stated(pieces)
-    contexts = _needed(asked, x)
-    columns = [np.zeros(len(contexts), np.int64) for _ in range(samples + 1)]
-    if x is not None:
-        at = np.searchsorted(contexts, x.contexts)
-        for column, weights in zip(columns, (x.n, *(own for own, *_ in x.kept)), strict=True):
-            column[at] = _sums(x.before, weights, len(x.contexts))
-    out = _table(list(_offer(key[0].as_py(), contexts, columns, buckets)))
+def _want(key, asked: pa.Table, buckets: int) -> pa.Table:
+    """The words before that a bucket's tokens ask with, beside the frequent ones."""
+    found = [np.cumsum(packed.unplanes(packed.split(_unpress(p))[2])) for kind, p in zip(asked.column("kind").to_pylist(), asked.column("payload").to_pylist(), strict=True) if kind == 0]
+    out = _table(list(_offer(key[0].as_py(), np.unique(np.concatenate(found)), [], buckets)) if found else [])
     release()
     return out
 
 
-def _answer(key, asked: pa.Table, pieces: pa.Table, model: tuple, denominator: float, parts: int, buckets: int) -> pa.Table:
-    """Partial sums of the documents that asked, for their own buckets."""
+def _answer(key, asked: pa.Table, pieces: pa.Table, model: tuple, head: Head, denominator: float, parts: int, buckets: int) -> pa.Table:
+    """Partial sums of the documents that asked, for their own buckets. Each distinct (word, word before) of the bucket is looked up once."""
     samples, words, s = model
-    x, received = _stated(pieces)
-    contexts = _needed(asked, x)
-    customers, *tables = _received(contexts, received, len(samples) + 1, buckets)
-    got = []
+    rows = list(zip(pieces.column("kind").to_pylist(), pieces.column("payload").to_pylist(), strict=True))
+    x = State.merged([State.unpack(p) for kind, p in rows if kind == 4])
+    got, tokens = [], []
     for kind, payload in zip(asked.column("kind").to_pylist(), asked.column("payload").to_pylist(), strict=True):
         if kind == 1:
             cut = packed.split(payload)
             got.append((packed.undeltas(cut[0]), *(packed.unzigzag(packed.unplanes(b)) for b in cut[1:])))
-            continue
-        h, sizes, rest = _unblob(payload)
-        context, row, n = (packed.unplanes(b).astype(np.int64) for b in rest[:3])
-        before, doc = packed.unplanes(rest[3]), packed.undeltas(rest[4])
-        place, own, c = np.full(len(h), -1), np.full(len(before), -1), np.zeros(len(h), np.int64)
+        else:
+            tokens.append(_unblob(payload))
+    if tokens:
+        rest, first, back = np.unique(np.concatenate([g[2] for g in tokens]), return_index=True, return_inverse=True)
+        received = _received(rest, [p for kind, p in rows if kind == 3], len(samples) + 1, buckets)
+        contexts = np.concatenate([head.contexts, rest])
+        kind = np.concatenate([head.kind, np.concatenate([g[3] for g in tokens])[first]])
+        customers, *tables = (np.concatenate(c) for c in zip([head.customers, *head.tables], received, strict=True))
+        asking, place = np.unique(np.concatenate([g[0] for g in tokens]), return_inverse=True)
+        known, count, own = np.full(len(asking), -1), np.zeros(len(asking), np.int64), np.full(len(contexts), -1)
         if x is not None and len(x.words):
-            at = np.minimum(np.searchsorted(x.words, h), len(x.words) - 1)
-            place = np.where(x.words[at] == h, at, -1)
-            c = np.where(place >= 0, x.count[at], 0)
+            at = np.minimum(np.searchsorted(x.words, asking), len(x.words) - 1)
+            known = np.where(x.words[at] == asking, at, -1)
+            count = np.where(known >= 0, x.count[at], 0)
             if len(x.contexts):
-                at = np.minimum(np.searchsorted(x.contexts, before), len(x.contexts) - 1)
-                own = np.where(x.contexts[at] == before, at, -1)
-        word, c = np.repeat(place, sizes), np.repeat(c, sizes)
-        at = np.searchsorted(contexts, before)
-        p = probabilities(x, word, context, samples, words, s, (own, customers[at], [t[at] for t in tables]))
-        sums = partial(_whole_sums, row, n=len(doc))
-        got.append((doc, np.zeros(len(doc), np.int64), sums(w=n * (word >= 0)), sums(w=n * _fixed(np.log10((c + 1) / denominator))), sums(w=n * _fixed(np.log10(p)))))
+                at = np.minimum(np.searchsorted(x.contexts, contexts), len(x.contexts) - 1)
+                own = np.where(x.contexts[at] == contexts, at, -1)
+        base = _fixed(np.log10((count + 1) / denominator))
+        keys, begin, size = [], np.cumsum([0, *(len(g[2]) for g in tokens)]), len(head.contexts)
+        turns = np.cumsum([0, *(len(g[0]) for g in tokens)])
+        for k, (h, sizes, _, _, code, _, _) in enumerate(tokens):
+            code = code.copy()
+            listed = code >= size
+            code[listed] = size + back[begin[k] + code[listed] - size]
+            keys.append(np.repeat(place[turns[k] : turns[k] + len(h)], sizes) * len(contexts) + code)
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.cumsum([0, *map(len, keys)])
+        del keys
+        found = np.empty(len(distinct), np.int64)
+        for a in range(0, len(distinct), 1 << 16):
+            word, before = np.divmod(distinct[a : a + (1 << 16)], len(contexts))
+            found[a : a + len(word)] = _fixed(np.log10(probabilities(x, known[word], kind[before], samples, words, s, (own[before], customers[before], [t[before] for t in tables]))))
+        for k, (h, sizes, _, _, _, n, rest_parts) in enumerate(tokens):
+            row, doc = _whole(rest_parts[0]), packed.undeltas(rest_parts[1])
+            word = np.repeat(place[turns[k] : turns[k] + len(h)], sizes)
+            sums = partial(_whole_sums, row, n=len(doc))
+            got.append((doc, np.zeros(len(doc), np.int64), sums(w=n * (known[word] >= 0)), sums(w=n * base[word]), sums(w=n * found[at[ends[k] : ends[k + 1]]])))
     ids, *columns = (np.concatenate(c) for c in zip(*got, strict=True)) if got else [np.empty(0, np.int64)] * 5
     doc, columns = _summed(ids, columns)
     to = (doc.view(np.uint64) * U(0x9E3779B97F4A7C15) >> U(32)).astype(np.int64) % parts
@@ -726,11 +974,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     repeats = plain.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count() > 0
     key = F.xxhash64("doc_id", "text") if repeats else F.col("doc_id")
     named = plain.select(key.alias("doc_id"), "text")
-    asked = named.mapInArrow(partial(_ask, split=split, buckets=buckets), _ROWS).repartition(runtime.shuffle_partitions(spark), "bucket")  # read twice
+    head = _head(model)
+    asked = named.mapInArrow(partial(_ask, split=split, head=head, buckets=buckets), _ROWS).repartition(runtime.shuffle_partitions(spark), "bucket")  # read twice
     pieces = model.state.select("bucket", "state").mapInArrow(partial(_pieces, split=split, buckets=buckets), _ROWS)
-    want = partial(_want, samples=len(model.samples), buckets=buckets)
-    answer = partial(_answer, model=small, denominator=denominator, parts=buckets, buckets=buckets)
-    sums = asked.groupBy("bucket").cogroup(pieces.groupBy("bucket")).applyInArrow(lambda key, left, right: want(key, left, right), _ROWS).groupBy("bucket").applyInArrow(lambda key, table: _total(key, table), _ROWS)
+    rest = model.state.select("bucket", "state").mapInArrow(partial(_rest, head=head, buckets=buckets), _ROWS)
+    want, answer = partial(_want, buckets=buckets), partial(_answer, model=small, head=head, denominator=denominator, parts=buckets, buckets=buckets)
+    sums = asked.groupBy("bucket").applyInArrow(lambda key, table: want(key, table), _ROWS).unionAll(rest).groupBy("bucket").applyInArrow(lambda key, table: _total(key, table), _ROWS)
     answers = asked.groupBy("bucket").cogroup(pieces.unionAll(sums).groupBy("bucket")).applyInArrow(lambda key, left, right: answer(key, left, right), _ROWS)
     finish = partial(_finish, tokens=model.tokens)
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -306,3 +306,33 @@ def test_probabilities_after_a_word_sum_to_one(spark, data):
             size, at = len(x.words), int(np.flatnonzero(x.contexts == u)[0]) if (x.contexts == u).any() else -1
             total += pitman_yor.probabilities(x, np.arange(size), np.full(size, kind), model.samples, model.words, model.settings, before(size, at)).sum()
         assert total == pytest.approx(1, abs=1e-9)
+
+
+def shuffled(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_what_a_token_sends(spark, data, monkeypatch):
+    """Bytes of all exchanges, rows between buckets, and equal results for any number of buckets."""
+    docs, found = documents(spark, data, 400), []
+    tokens = sum(len((r.text or "").split()) + 1 for r in docs.collect())
+    for size in (6 << 20, 1 << 16):
+        monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", size)
+        before = shuffled(spark)
+        found.append(sorted(map(tuple, pitman_yor.digest(docs).collect())))
+        if not found[1:]:
+            sent = shuffled(spark) - before
+    assert found[0] == found[1]
+    print("bytes a token", sent / tokens)
+    assert sent < 60 * tokens
+
+
+def test_few_buckets_for_a_small_table_over_many_partitions(spark, data):
+    """Buckets send rows to each other: their number follows the text, not the partitions."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert pitman_yor.fit(documents(spark, data, 20)).buckets < 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
