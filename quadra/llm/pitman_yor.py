@@ -10,9 +10,11 @@ customer who opens a table is drawn from the process's survival function, a quot
 the sweep, so a result does not depend on how the work is dealt out. After `burn` sweeps, `samples` sweeps are kept and the probability of a token is the
 mean of their predictive probabilities.
 
-Execution. A word's cells in all restaurants are in one hash bucket, and a sweep goes over the buckets. The totals of the restaurants of words are summed in
-the buckets of those words: before a sweep each bucket offers its shares and gets back the sums of just the contexts that it has, in the same order. Only the totals of the
-1,059 restaurants above go through the driver. Map tasks count before they send: a chunk sends each distinct (word, context) once, in packed rows. To score, a
+Execution. A word's cells in all restaurants are in one hash bucket, and a sweep goes over the buckets. A cell of one customer has one table in every sweep, so sweeps
+move only the others. The totals of the restaurants of words are summed in fewer buckets, of those words: before a sweep each bucket offers its shares and gets back
+the sums of just the contexts of its cells that change; tables of the cells that stay are summed once. Only the totals of the
+1,059 restaurants above go through the driver. Map tasks count before they send: a chunk sends each distinct (word, context) once, in packed rows. To score, frequent
+words before go by number, with their restaurants' totals in every task, others are listed once for each chunk and bucket and their totals asked for; a
 chunk's tokens go to their words' buckets, and partial sums for each document come back; words above a `head`-th of all tokens (at most `head` of them) are
 dealt by word and context to several buckets, with their cells. Each token's logarithm is rounded by itself to a multiple of 2**-32 and
 sums are whole numbers, so that neither order nor partitions change a result.

@@ -324,8 +324,7 @@ def test_what_a_token_sends(spark, data, monkeypatch):
         if not found[1:]:
             sent = shuffled(spark) - before
     assert found[0] == found[1]
-    print("bytes a token", sent / tokens)
-    assert sent < 60 * tokens
+    assert sent < 60 * tokens  # 45 measured; 100 when every sweep moved all cells and every token the hash before it
 
 
 def test_few_buckets_for_a_small_table_over_many_partitions(spark, data):
