@@ -1,5 +1,9 @@
 """Work that must not grow with the square of the input, and results that must hold at size."""
 
+import random
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quadra import functions as S
@@ -16,3 +20,52 @@ def test_dissolve_joins_united_parts_only(spark, monkeypatch):
     squares = spark.range(18000).select((F.col("id") % 900).alias("k")).select((F.col("k") % 30 + F.when(F.col("k") % 30 >= 15, 100).otherwise(0)).alias("x"), F.floor(F.col("k") / 30).alias("y"))
     got = dissolve.pairwise_dissolve(squares.select(S.st_cell("x", "y", 1.0).alias("geom")), cell=10.0, dist=0.0).select(S.st_area()).collect()
     assert sorted(r[0] for r in got) == [450, 450] and seen[0] <= 30
+
+
+def test_counter_is_brute_force():
+    import numpy as np
+
+    from quadra.operators import containing
+
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 60, 400) / 4, rng.integers(0, 60, 400) / 4
+    w, h = rng.choice([0.5, 2.0, 7.5], 400), rng.choice([1.0, 3.0], 400)
+    w[:9], h[:9] = rng.random(9) * 5, rng.random(9) * 5
+    a, b = rng.integers(0, 60, 500) / 4, rng.integers(0, 60, 500) / 4
+    c, d = a + rng.integers(0, 9, 500) / 4, b + rng.integers(0, 9, 500) / 4
+    want = [int(((x < i) & (x + w > k) & (y < j) & (y + h > m)).sum()) for i, j, k, m in zip(a, b, c, d, strict=True)]
+    for few, table in ((24, 1024), (2, 16)):
+        containing.FEW, containing.TABLE = few, table
+        assert containing.counter(x, y, x + w, y + h)(a, b, c, d).tolist() == want
+    containing.FEW, containing.TABLE = 24, 1024
+
+
+def test_cross_box_pairs_list_no_hits(spark, monkeypatch):
+    """Ids of one, several and many rows against their SQL; only ids of more than MOST rows are joined with the boxes."""
+    from quadra import plans
+    from quadra.operators import containing
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        start = rng.randint(-40, 40) / 4, rng.randint(-40, 40) / 4
+        for _ in range(9 if k < 3 else rng.choice((1, 1, 2, 3, 6))):
+            if k % 5 == 0:
+                start = rng.randint(-40, 40) / 4, rng.randint(-40, 40) / 4
+            rows.append((k, *map(float, start), start[0] + rng.randint(-16, 16) / 4, start[1] + rng.randint(-16, 16) / 4))
+    boxes = [(k, x - h, y - h, x + h, y + h) for k in range(200) for x, y, h in [(rng.randint(-40, 40) / 4, rng.randint(-40, 40) / 4, rng.choice((0.5, 1.25, 4.0)))]]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE geo_segments (id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)")
+    con.execute("CREATE TABLE geo_boxes (id BIGINT, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE)")
+    con.executemany("INSERT INTO geo_segments VALUES (?, ?, ?, ?, ?)", rows)
+    con.executemany("INSERT INTO geo_boxes VALUES (?, ?, ?, ?, ?)", boxes)
+    text = plans.oracle_sql()["q11_cross_box_segments"]
+    want = con.execute("WITH hit AS" + text.split("hit AS", 1)[1]).fetchone()[0]
+    sent = []
+    real = containing.join_qr
+    monkeypatch.setattr(containing, "join_qr", lambda l, *a, **k: (sent.append(l.count()), real(l, *a, **k))[1])
+    monkeypatch.setattr(containing, "ROWS", 100)
+    s = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double")
+    b = spark.createDataFrame(boxes, "box long, xmin double, ymin double, xmax double, ymax double")
+    assert containing.cross_box_pairs(s, b, 5.0).collect()[0].n == want > 1000 and sent == [2 * 9 * 3]
+    assert containing.cross_box_pairs(s.where("id > 2"), b, 5.0).count() == 1 and len(sent) == 1
