@@ -22,6 +22,13 @@ def test_dissolve_joins_united_parts_only(spark, monkeypatch):
     assert sorted(r[0] for r in got) == [450, 450] and seen[0] <= 30
 
 
+def test_listed_cells_are_not_broadcast_by_file_size(spark, data):
+    from quadra import plans
+
+    for name in ("qr_intersect",):
+        assert "BroadcastExchange" not in plans.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_counter_is_brute_force():
     import numpy as np
 
