@@ -29,6 +29,18 @@ def test_listed_cells_are_not_broadcast_by_file_size(spark, data):
         assert "BroadcastExchange" not in plans.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["qr_geom", "qr_geom_explode", "qr_envp_geom", "qr_envp_geom_explode"])
+def test_pieces_of_boxes_that_end_on_an_edge_of_the_grid(spark, tmp_path, name):
+    """Cells that a box only touches are listed, as in the SQL; these three boxes end on edges."""
+    from quadra import plans
+
+    path = f"{tmp_path}/customer.parquet"
+    duckdb.connect().execute(f"COPY (SELECT * FROM '/root/testdata/sf0.1/customer.parquet' WHERE c_custkey IN (3000, 5000, 8000, 8001)) TO '{path}' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{path}'")
+    assert sorted(map(tuple, plans.queries()[name](spark, str(tmp_path)).collect())) == sorted(con.execute(plans.oracle_sql()[name]).fetchall())
+
+
 def test_counter_is_brute_force():
     import numpy as np
 
