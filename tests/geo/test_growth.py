@@ -25,7 +25,7 @@ def test_dissolve_joins_united_parts_only(spark, monkeypatch):
 def test_listed_cells_are_not_broadcast_by_file_size(spark, data):
     from quadra import plans
 
-    for name in ("qr_intersect",):
+    for name in ("qr_intersect", "join_qr_intersects", "distance_join", "sql_surface"):
         assert "BroadcastExchange" not in plans.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
 
 
@@ -88,3 +88,40 @@ def test_cross_box_pairs_list_no_hits(spark, monkeypatch):
     b = spark.createDataFrame(boxes, "box long, xmin double, ymin double, xmax double, ymax double")
     assert containing.cross_box_pairs(s, b, 5.0).collect()[0].n == want > 1000 and sent == [2 * 9 * 3]
     assert containing.cross_box_pairs(s.where("id > 2"), b, 5.0).count() == 1 and len(sent) == 1
+
+
+def test_relations_by_envelope_are_the_geometries_own(spark):
+    """Points, boxes, level and slanted lines and triangles of a lattice: every relation is what JTS says of the pair, and settled by numbers where it can be."""
+    from quadra.functions.native import native
+    from quadra.operators import join_qr
+
+    rng = random.Random(7)
+    at = lambda: rng.randint(0, 16) / 4
+    texts = []
+    for _ in range(30):
+        x, y, w, h = at(), at(), rng.choice((0.5, 1.5)), rng.choice((0.5, 1.5))
+        texts += [f"POINT ({x} {y})", f"POLYGON (({x} {y}, {x} {y + h}, {x + w} {y + h}, {x + w} {y}, {x} {y}))", f"LINESTRING ({x} {y}, {x + w} {y})", f"LINESTRING ({x} {y}, {x + w} {y + h})", f"POLYGON (({x} {y}, {x} {y + h}, {x + w} {y}, {x} {y}))"]
+    shapes = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", S.st_fromtext().alias("geom")).cache()
+    l, r = shapes.withColumnRenamed("id", "a"), shapes.withColumnRenamed("id", "b")
+    for oper in ("contains", "crosses", "equals", "intersects", "overlaps", "touches", "within"):
+        want = sorted(map(tuple, l.crossJoin(r.toDF("b", "other")).where(native(f"quadra_{oper}", F.col("geom"), F.col("other"), F.lit("-1"))).select("a", "b").collect()))
+        for dist in (0.0, 0.3):
+            assert sorted(map(tuple, join_qr(l, r, 1.0, dist, oper=oper).select("a", "b").collect())) == want and want, oper
+    plan = join_qr(l, r, 1.0, oper="touches")._jdf.queryExecution().executedPlan().toString()
+    assert "CASE WHEN" in plan.split("SortMergeJoin")[1]
+
+
+def test_equal_shapes_meet_by_their_bounds(spark, data):
+    from quadra import plans
+
+    keys = plans.queries()["join_qr_equals"](spark, data)._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1].split("]")[0]
+    assert "xmin" in keys and "ymax" in keys
+
+
+def test_shapefiles_are_stored_by_tasks(spark, tmp_path, monkeypatch):
+    from quadra.sources.shapefile import read_shapefile, write_shapefile
+
+    rows = spark.range(500).select("id", S.st_cell(F.col("id") * 2, F.lit(0), 1.0).alias("geom")).cache()
+    monkeypatch.setattr(type(rows), "toLocalIterator", None)
+    write_shapefile(rows, f"file://{tmp_path}/shp", rows_per_file=100)
+    assert read_shapefile(spark, f"file://{tmp_path}/shp").count() == 500 and len(list((tmp_path / "shp").glob("*.shp"))) > 1
